@@ -25,6 +25,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: At most so many row numbers (8 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``row`` (a struct of all columns, whatever their names) and ``rid``, written so that rids stay the same."""
+    return materialise(df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")), "rows")
+
+
+def without(rows: DataFrame, rids: DataFrame) -> DataFrame:
+    """The rows of ``numbered`` that are not in ``rids`` (column rid), as they came."""
+    gone = materialise(rids.select("rid"), "rids")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return rows.join(gone, "rid", "left_anti").select("row.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from brindle.llm import simhash_dedup, winnowing
+import public_tokenizers
+
+from brindle.llm import byte_bpe, quality_rules, simhash_dedup, winnowing
 from brindle.llm.common import table
 
 
@@ -10,10 +12,19 @@ def op3_winnowing(spark, sf_dir):
     return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op6_mcd_outliers(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_variants(spark, sf_dir):
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_winnowing, op8_simhash_variants)}
+QUERIES = {f.__name__: f for f in (op3_winnowing, op4_byte_bpe, op6_mcd_outliers, op8_simhash_variants)}
 
 ORACLES = {"op3_winnowing": winnowing.ORACLE_SQL}

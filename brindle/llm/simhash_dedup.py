@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import materialise
+from brindle.llm.common import materialise, numbered, without
 
 SEED = 42
 MAX_DISTANCE = 2
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFr
 
 def keep_one(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, the first of repeated ones."""
-    rows = materialise(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")), "rows")
+    rows = numbered(docs)
     prints = materialise(
         fingerprints(rows.select("rid", F.col("row.text").alias("text")), "rid"), "simhash"
     )
@@ -247,4 +247,4 @@ def keep_one(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     firsts = prints.join(rows.select("rid", F.col("row.doc_id").alias("doc_id")), "rid")
     nodes = materialise(firsts.groupBy("fp").agg(F.min(order).alias("low")), "simhash-nodes")
     kept = _roots(nodes, bucket_limit).groupBy("root").agg(F.min("low").alias("low")).select("low.rid")
-    return rows.join(kept, "rid", "left_semi").select("row.*")
+    return without(rows, prints.select("rid").join(kept, "rid", "left_anti"))

@@ -23,9 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import ascii_lower
+from brindle.llm.common import ascii_lower, numbered, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN = 10
 GRAM = 5
 WINNOW = SPAN - GRAM + 1
@@ -34,20 +35,25 @@ BROADCAST_ROWS = 100_000
 
 
 def words(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Every match of ``WORD``, got by splitting at what lies between (ten times as fast as extracting)."""
+    return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), BETWEEN, -1), "")
 
 
 #: The smallest gram hash of each window, with its position: 36 bits of the hash stand above 28 bits of
 #: position (an array holds no more words), so that the minimum of a window is one comparison of longs.
-#: Documents and items order grams alike, as the guarantee needs; the join then compares whole hashes.
+#: Documents and items order grams alike, as the guarantee needs; hits are compared word by word.
 POSITION_BITS = 28
 MASK = f"{(1 << POSITION_BITS) - 1}L"
-_GRAMS = f"""transform(sequence(0, size(w) - {GRAM}),
-    i -> shiftleft(xxhash64(slice(w, i + 1, {GRAM})), {POSITION_BITS}) | cast(i AS BIGINT))"""
-_KEPT = f"""array_distinct(transform(sequence(0, size(g) - {WINNOW}), i -> array_min(slice(g, i + 1, {WINNOW}))))"""
+_WORD_HASHES = "transform(w, x -> xxhash64(x))"
+_GRAMS = f"""slice(transform(h, (x, i) -> shiftleft(
+    xxhash64({', '.join(['x', *(f'get(h, i + {k})' for k in range(1, GRAM))])}), {POSITION_BITS}) | cast(i AS BIGINT)),
+    1, size(h) - {GRAM - 1})"""
+_KEPT = f"""array_distinct(slice(
+    transform(g, (x, i) -> least({', '.join(['x', *(f'get(g, i + {k})' for k in range(1, WINNOW))])})),
+    1, size(g) - {WINNOW - 1}))"""
 _FINGERPRINTS = f"""transform(kept, x -> named_struct(
     'kind', {SPAN},
-    'hash', xxhash64(slice(w, cast(x & {MASK} AS INT) + 1, {GRAM})),
+    'hash', shiftright(x, {POSITION_BITS}),
     'pos', cast(x & {MASK} AS INT),
     'lead', least(cast(x & {MASK} AS INT), {LEAD}),
     'ctx', slice(w, greatest(cast(x & {MASK} AS INT) - {LEAD}, 0) + 1,
@@ -63,13 +69,14 @@ def _short(n: int) -> str:
 
 def _with_fingerprints(rows: DataFrame, lengths: list[int], only_own_kind: bool) -> DataFrame:
     """Adds ``fps`` to rows with the word array ``w``. Items have grams of their own kind only."""
+    rows = rows.withColumn("h", F.expr(f"IF(size(w) >= {SPAN}, {_WORD_HASHES}, CAST(NULL AS array<bigint>))"))
     rows = rows.withColumn("g", F.expr(f"IF(size(w) >= {SPAN}, {_GRAMS}, CAST(NULL AS array<bigint>))"))
     rows = rows.withColumn("kept", F.expr(f"IF(size(w) >= {SPAN}, {_KEPT}, CAST(NULL AS array<bigint>))"))
     parts = [f"IF(size(w) >= {SPAN}, {_FINGERPRINTS}, CAST(array() AS {_NONE}))"]
     for n in lengths:
         fits = f"size(w) = {n}" if only_own_kind else f"size(w) >= {n}"
         parts.append(f"IF({fits}, {_short(n)}, CAST(array() AS {_NONE}))")
-    return rows.withColumn("fps", F.expr(f"concat({', '.join(parts)})")).drop("g", "kept")
+    return rows.withColumn("fps", F.expr(f"concat({', '.join(parts)})")).drop("h", "g", "kept")
 
 
 def benchmark_contexts(items: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -77,7 +84,7 @@ def benchmark_contexts(items: DataFrame) -> tuple[DataFrame, list[int]]:
     rows = items.select("item_id", words().alias("w"))
     short = rows.select(F.size("w").alias("n")).where(f"n BETWEEN 1 AND {SPAN - 1}").distinct()
     lengths = sorted(r.n for r in short.collect())  # nine values at most
-    fps = _with_fingerprints(rows, lengths, True).select("item_id", F.explode("fps").alias("f"))
+    fps = _with_fingerprints(rows, lengths, True).select("item_id", F.explode_outer("fps").alias("f")).where("f IS NOT NULL")
     return (
         fps.select("item_id", F.col("f.kind"), F.col("f.hash"), F.col("f.lead").alias("ilead"), F.col("f.ctx").alias("ictx"))
         .groupBy("kind", "hash", "ilead", "ictx")
@@ -98,8 +105,10 @@ def _run(direction: int) -> Column:
     return run
 
 
-def contaminated_spans(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Per row of ``docs``: doc_id, rid, n_words, spans (array of first/last hit word) and item_ids (string, sorted).
+def contaminated_spans(
+    docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id"
+) -> DataFrame:
+    """Per row of ``docs``: ``id_col`` (as doc_id), rid, n_words, spans (array of first/last hit word) and item_ids (string, sorted).
 
     ``rid`` tells repeated rows apart; it is set and used within one pass over ``docs``.
     """
@@ -107,9 +116,13 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, broadcast_rows: int =
     if contexts.count() <= broadcast_rows:
         contexts = F.broadcast(contexts)
     own = f"named_struct('kind', -1, 'hash', 0L, 'pos', -1, 'lead', 0, 'ctx', CAST(array() AS array<string>))"
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), words().alias("w"))
-    grams = _with_fingerprints(rows, lengths, False).select(
-        "doc_id", "rid", F.size("w").cast("long").alias("n_words"), F.explode(F.expr(f"concat(array({own}), fps)")).alias("f")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), words().alias("w"))
+    # explode_outer: explode would infer a filter on its array, which is pushed down and inlines all that makes it;
+    # the word array ends before the explode, which would copy it for every fingerprint
+    grams = (
+        _with_fingerprints(rows, lengths, False)
+        .select("doc_id", "rid", F.size("w").cast("long").alias("n_words"), F.expr(f"concat(array({own}), fps)").alias("fps"))
+        .select("doc_id", "rid", "n_words", F.explode_outer("fps").alias("f"))
     )
     met = grams.select("doc_id", "rid", "n_words", "f.*").join(contexts, ["kind", "hash"], "left")
     met = met.where("kind = -1 OR ictx IS NOT NULL").withColumns({"left": _run(-1), "right": _run(+1)})
@@ -150,6 +163,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROAD
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the rows that share a window with an item."""
+    rows = numbered(docs)
+    found = contaminated_spans(rows.select("rid", "row.text"), items, broadcast_rows, "rid")
+    return without(rows, found.where(F.size("spans") > 0).select(F.col("doc_id").alias("rid")))
+
+
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
