@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from brindle.llm import byte_bpe, quality_rules, simhash_dedup, winnowing
+from brindle.llm import byte_bpe, content_store, karmarkar_karp, quality_rules, simhash_dedup, winnowing
 from brindle.llm.common import table
 
 
+def op2_karmarkar_karp(spark, sf_dir):
+    return karmarkar_karp.shards(table(spark, sf_dir, "documents"), 40)
+
+
 def op3_winnowing(spark, sf_dir):
     return winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -25,6 +29,10 @@ def op8_simhash_variants(spark, sf_dir):
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_winnowing, op4_byte_bpe, op6_mcd_outliers, op8_simhash_variants)}
+def op10_content_store(spark, sf_dir):
+    return content_store.stored(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
+QUERIES = {f.__name__: f for f in (op2_karmarkar_karp, op3_winnowing, op4_byte_bpe, op6_mcd_outliers, op8_simhash_variants, op10_content_store)}
 
 ORACLES = {"op3_winnowing": winnowing.ORACLE_SQL}

@@ -1,0 +1,96 @@
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from brindle.llm import content_store as C
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+DOCS = "doc_id long, text string, row string, n_ids int, part long"
+
+
+@pytest.fixture(scope="module")
+def library():
+    model = Tokenizer.from_file(PATH)
+    model.encode_special_tokens = True
+    return lambda t: [*model.encode(t or "", add_special_tokens=False).ids, 2]
+
+
+def expected(library, rows):
+    """Rows in ascending doc_id order, null ids first, equal ids as given."""
+    out, start = [], 0
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = library(t)
+        out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return Counter(out)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "a", 1, 2) for r in rows], DOCS).coalesce(1)
+
+
+def edge_rows():
+    rnd = random.Random(1)
+    words = [f"word{i}" for i in range(200)]
+    long = " ".join(rnd.choice(words) for _ in range(20_000))
+    odd = [None, "", " ", "It's ÉCOLE naïve\xa0x y", "<|endoftext|> <|startoftext|>", "İstanbul ΣΑΣ Σ", "a\x0b\x1cb", "日本語 🙂", "x" * 4000]
+    return list(enumerate(odd)) + [(50, long), (51, "new start " + long), (52, long), (5, "again"), (5, "again"), (None, "no id")]
+
+
+def test_store_equals_the_library(spark, library):
+    rows = edge_rows()
+    assert Counter(map(tuple, C.stored(frame(spark, rows), PATH, 2).collect())) == expected(library, rows)
+
+
+def test_real_documents(spark, sf_dir, library):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert Counter(map(tuple, C.stored(docs.repartition(5), PATH, 2).collect())) == expected(library, rows)
+
+
+def test_ids_come_back_and_chunks_are_stored_once(spark, library, tmp_path):
+    rows = edge_rows()
+    path = f"file://{tmp_path}/store"
+    C.write_store(frame(spark, rows), path, PATH, 2, rows_per_part=4)
+    got = Counter((r.doc_id, tuple(r.ids)) for r in C.read_ids(spark, path).collect())
+    assert got == Counter((d, tuple(library(t))) for d, t in rows)
+    chunks = spark.read.parquet(f"{path}/chunks")
+    assert chunks.count() == chunks.select("address").distinct().count()
+    assert chunks.agg({"n_ids": "sum"}).first()[0] < 0.5 * sum(len(library(t)) for _, t in rows)
+
+
+def test_damage_is_found(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    C.write_store(frame(spark, edge_rows()), path, PATH, 2)
+    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes.where("doc_id <> 7").write.parquet(f"{path}/less")
+    (tmp_path / "store/recipes").rename(tmp_path / "store/whole")
+    (tmp_path / "store/less").rename(tmp_path / "store/recipes")
+    with pytest.raises(ValueError, match="differ"):
+        C.verify(spark, path)
+
+
+def test_cuts_are_bounded_and_come_back_after_an_insertion():
+    rnd = np.random.default_rng(3)
+    ids = rnd.integers(0, 49_000, 30_000).astype(np.uint16)
+    cuts = C.cut_points(ids)
+    sizes = np.diff([0, *cuts])
+    assert cuts[-1] == ids.size and sizes.max() <= C.MAX_CHUNK and sizes[:-1].min() >= C.MIN_CHUNK
+    later = C.cut_points(np.concatenate([ids[:100], [7, 8, 9], ids[100:]]).astype(np.uint16))
+    assert len(set(cuts.tolist()) & set((later - 3).tolist())) > 0.9 * len(cuts)
+
+
+def test_combined_crc():
+    rnd = np.random.default_rng(4)
+    parts = [rnd.integers(0, 1 << 32, n, dtype=np.uint32) for n in (1, 64, 1024, 3, 700)]
+    whole = zlib.crc32(np.concatenate(parts).astype("<u4").tobytes())
+    assert C.combine_crc([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], [p.size for p in parts]) == whole
+
+
+def test_empty_table(spark):
+    assert C.stored(frame(spark, []), PATH, 2).collect() == []

@@ -1,0 +1,84 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from brindle.llm import karmarkar_karp as K
+
+DOCS = "doc_id long, text string, size string, shard int, at long"
+
+
+def reference_difference(sizes, k):
+    """The same method, with sets and a linear search for the largest spreads."""
+    parts = [[(0, frozenset())] * (k - 1) + [(s, frozenset([i]))] for i, s in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1][0] - p[0][0], reverse=True)
+        a, b, *rest = parts
+        joined = sorted(((a[j][0] + b[-1 - j][0], a[j][1] | b[-1 - j][1]) for j in range(k)), key=lambda x: x[0])
+        parts = [[(s - joined[0][0], m) for s, m in joined], *rest]
+    return parts[0]
+
+
+def spread(sizes, shards, k):
+    sums = [0] * k
+    for s, c in zip(sizes, shards, strict=True):
+        sums[c] += s
+    return max(sums) - min(sums)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 7])
+def test_spread_equals_plain_form(k):
+    rnd = random.Random(k)
+    for _ in range(15):
+        sizes = rnd.sample(range(1, 10_000), rnd.randrange(1, 25))
+        parts = reference_difference(sizes, k)
+        assert spread(sizes, K.difference(sizes, k), k) == parts[-1][0] - parts[0][0]
+
+
+def test_known_case_and_tighter_than_greedy():
+    assert spread([8, 7, 6, 5, 4], K.difference([8, 7, 6, 5, 4], 2), 2) == 2
+    rnd = random.Random(1)
+    sizes = sorted((rnd.randrange(1, 100_000) for _ in range(2000)), reverse=True)
+    greedy = [0] * 40
+    for s in sizes:
+        greedy[greedy.index(min(greedy))] += s
+    assert spread(sizes, K.difference(sizes, 40), 40) < (max(greedy) - min(greedy)) / 2
+
+
+def check(rows, got, shards):
+    def facts(t):
+        raw = (t or "").encode()
+        return len(raw) + 16, zlib.crc32(raw)
+
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((d, *facts(t)) for d, t in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < shards
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    where = defaultdict(set)
+    texts = {(d, *facts(t)): t for d, t in rows}
+    for r in got:
+        where[texts[(r.doc_id, r.size, r.text_crc32)]].add(r.shard)
+    assert all(len(s) == 1 for s in where.values())
+    return [sum(r.size for r in got if r.shard == s) for s in range(shards)]
+
+
+def test_documents_are_balanced(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = K.shards(docs, 8).collect()
+    sums = check([(r.doc_id, r.text) for r in docs.collect()], got, 8)
+    assert max(sums) - min(sums) <= 20
+
+
+def test_hot_groups_nulls_and_repeats(spark):
+    rnd = random.Random(2)
+    rows = [(i, "hot text") for i in range(4000)] + [(i, None) for i in range(50)] + [(None, ""), (None, "")]
+    rows += [(i, "x" * rnd.randrange(1, 300)) for i in range(3000)] + [(9, "dup")] * 30
+    docs = spark.createDataFrame([(*r, "a", 1, 2) for r in rows], DOCS).repartition(7)
+    check(rows, K.shards(docs, 5, bins=64).collect(), 5)
+
+
+def test_empty_table(spark):
+    assert K.shards(spark.createDataFrame([], DOCS), 40).collect() == []
