@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from brindle.llm import byte_bpe, content_store, karmarkar_karp, quality_rules, simhash_dedup, winnowing
+from brindle.llm import byte_bpe, chat_parts, content_store, karmarkar_karp, quality_rules, simhash_dedup, url_rules, winnowing
 from brindle.llm.common import table
 
 
@@ -21,10 +21,18 @@ def op4_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op5_url_rules(spark, sf_dir):
+    return url_rules.filter_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op6_mcd_outliers(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_typed_parts(spark, sf_dir):
+    return chat_parts.conversations_digest(table(spark, sf_dir, "conversations"))
+
+
 def op8_simhash_variants(spark, sf_dir):
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,6 @@ def op10_content_store(spark, sf_dir):
     return content_store.stored(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
-QUERIES = {f.__name__: f for f in (op2_karmarkar_karp, op3_winnowing, op4_byte_bpe, op6_mcd_outliers, op8_simhash_variants, op10_content_store)}
+QUERIES = {f.__name__: f for f in (op2_karmarkar_karp, op3_winnowing, op4_byte_bpe, op5_url_rules, op6_mcd_outliers, op7_typed_parts, op8_simhash_variants, op10_content_store)}
 
 ORACLES = {"op3_winnowing": winnowing.ORACLE_SQL}

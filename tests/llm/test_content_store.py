@@ -38,8 +38,8 @@ def edge_rows():
     rnd = random.Random(1)
     words = [f"word{i}" for i in range(200)]
     long = " ".join(rnd.choice(words) for _ in range(20_000))
-    odd = [None, "", " ", "It's ÉCOLE naïve\xa0x y", "<|endoftext|> <|startoftext|>", "İstanbul ΣΑΣ Σ", "a\x0b\x1cb", "日本語 🙂", "x" * 4000]
-    return list(enumerate(odd)) + [(50, long), (51, "new start " + long), (52, long), (5, "again"), (5, "again"), (None, "no id")]
+    odd = [None, "", " ", "It's ÉCOLE naïve\xa0x y", "<|endoftext|> <|startoftext|>", "İstanbul ΣΑΣ Σ", "a\x0b\x1cb", "日本語 🙂", "x" * 4000, "a \x7f b\x7fc \x7f\x7f"]
+    return list(enumerate(odd)) + [(60, long), (61, "new start " + long), (62, long), (5, "again"), (5, "again"), (None, "no id")]
 
 
 def test_store_equals_the_library(spark, library):
