@@ -4,7 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from brindle.llm import byte_bpe, chat_parts, content_store, karmarkar_karp, quality_rules, simhash_dedup, url_rules, winnowing
+from brindle.llm import (
+    byte_bpe,
+    chat_parts,
+    content_store,
+    host_boilerplate,
+    karmarkar_karp,
+    quality_rules,
+    simhash_dedup,
+    url_rules,
+    winnowing,
+)
 from brindle.llm.common import table
 
 
@@ -37,10 +47,27 @@ def op8_simhash_variants(spark, sf_dir):
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_host_suffix_array(spark, sf_dir):
+    return host_boilerplate.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_content_store(spark, sf_dir):
     return content_store.stored(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
-QUERIES = {f.__name__: f for f in (op2_karmarkar_karp, op3_winnowing, op4_byte_bpe, op5_url_rules, op6_mcd_outliers, op7_typed_parts, op8_simhash_variants, op10_content_store)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_karmarkar_karp,
+        op3_winnowing,
+        op4_byte_bpe,
+        op5_url_rules,
+        op6_mcd_outliers,
+        op7_typed_parts,
+        op8_simhash_variants,
+        op9_host_suffix_array,
+        op10_content_store,
+    )
+}
 
 ORACLES = {"op3_winnowing": winnowing.ORACLE_SQL}
