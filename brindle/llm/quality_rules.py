@@ -182,7 +182,7 @@ def judge(stats: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP)
     key = lambda level, a, b: F.xxhash64(
         F.to_json(F.struct(F.lit(level).alias("level"), a.alias("lang"), b.alias("source")), {"ignoreNullFields": "false"})
     )
-    none = F.lit(None).cast("string")
+    none = F.when(F.col("n_words").isNull(), "")  # always null, but no constant: joins stay equi-joins
     few = found.count() <= 20_000
     for level, a, b in ((0, F.col("lang"), F.col("source")), (1, F.col("lang"), none), (2, none, none)):
         at = found.withColumnRenamed("key", "at")

@@ -10,6 +10,7 @@ from brindle.llm import (
     content_store,
     host_boilerplate,
     karmarkar_karp,
+    masked_lm,
     quality_rules,
     simhash_dedup,
     url_rules,
@@ -18,6 +19,10 @@ from brindle.llm import (
 from brindle.llm.common import table
 
 
+def op1_masked_pseudo_likelihood(spark, sf_dir):
+    return masked_lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op2_karmarkar_karp(spark, sf_dir):
     return karmarkar_karp.shards(table(spark, sf_dir, "documents"), 40)
 
@@ -58,6 +63,7 @@ def op10_content_store(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_masked_pseudo_likelihood,
         op2_karmarkar_karp,
         op3_winnowing,
         op4_byte_bpe,
