@@ -1,0 +1 @@
+"""Match analytics and training-data operators on PySpark."""

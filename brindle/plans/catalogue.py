@@ -1,4 +1,5 @@
 """Queries over the driver's tables and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from brindle.plans.match_queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

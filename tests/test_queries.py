@@ -1,0 +1,39 @@
+"""Every registered query against its SQL, on the smallest tables."""
+
+import math
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+ORACLES = entry.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return con
+
+
+def normal(rows):
+    def value(x):
+        return round(x, 5) if isinstance(x, float) and math.isfinite(x) else x
+
+    return sorted((tuple(map(value, r)) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, sf_dir, duck, name):
+    df = entry.queries()[name](spark, sf_dir)
+    want = duck.execute(ORACLES[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(df.columns)
+    assert normal(map(tuple, df.select(*(f"`{n}`" for n in names)).collect())) == normal(want.fetchall())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
