@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE = 400_000
+CACHE = 250_000
 _ONE = struct.Struct("<I")
 #: No white space next to white space or at an end: then each space begins a pre-token, whatever stands before it.
 _PLAIN = re.compile(r"\S+(?:\s\S+)*")
