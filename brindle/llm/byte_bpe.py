@@ -6,8 +6,8 @@ go by the best score, leftmost first: the merges of the rank file. Texts are cut
 the vocabulary's pattern and each is encoded for itself; a pre-token that is itself in the vocabulary
 is that one id, as in the rank file's own library. Decoding maps ids to pieces and pieces to bytes.
 
-Workers keep what they have encoded, by the space-separated word, in a dictionary of bounded size
-(``CACHE``); a text whose white space is other than single spaces goes through the pattern as a whole.
+A task keeps what it has encoded, by the space-separated word, in a dictionary of bounded size
+(``CACHE``) and gives the memory back at its end; a text whose white space is other than single spaces goes through the pattern as a whole.
 
 Defined results: a null or empty text has no ids and decodes to no bytes. Repeated rows stay; every
 other column is carried along unchanged; an empty table gives an empty result.
@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm.common import release_memory
+
 CACHE = 250_000
 _ONE = struct.Struct("<I")
 #: No white space next to white space or at an end: then each space begins a pre-token, whatever stands before it.
@@ -171,6 +173,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
                 ids = pa.array(np.frombuffer(b"".join(raw), "<i4"))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), ids)
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out_col])
+        bpe.cache.clear()
+        release_memory()
 
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(batches, schema)
@@ -185,6 +189,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_c
         for batch in it:
             found = bpe.decode_lists(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out_col])
+        release_memory()
 
     schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.BinaryType())])
     return rows.mapInArrow(batches, schema)

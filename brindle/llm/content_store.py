@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from brindle.llm.common import materialise, shared_dir
+from brindle.llm.common import materialise, release_memory, shared_dir
 
 #: A control character: one byte, one pre-token between spaces, and no part of any other character.
 MARK = b"\x7f"
@@ -169,6 +169,8 @@ def _code(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     ],
                     names=["doc_id", "row", "n_ids", "addresses", "pieces"],
                 )
+        words.cache.clear()
+        release_memory()
 
     picked = docs.select(
         "doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").cast("binary").alias("text")

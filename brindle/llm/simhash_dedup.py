@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import materialise, numbered, without
+from brindle.llm.common import materialise, numbered, release_memory, without
 
 SEED = 42
 MAX_DISTANCE = 2
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = batch.column(1).cast(pa.binary())
             fps = np.fromiter((simhash(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
+        release_memory()
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", picked.schema["id"].dataType), T.StructField("fp", T.LongType())])
