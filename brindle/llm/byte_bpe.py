@@ -160,9 +160,13 @@ def tokenizer(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with ``out_col``: the ids of the text (array of int)."""
+def encode(
+    docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None
+) -> DataFrame:
+    """``docs`` with ``out_col``: the ids of the text (array of int); and with ``decoded_col``, if named: what the
+    ids decode to (binary), in the same worker."""
     at = docs.columns.index(text_col)
+    added = [out_col] if decoded_col is None else [out_col, decoded_col]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
@@ -172,11 +176,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
                 offsets = np.cumsum([0, *(len(x) // 4 for x in raw)], dtype=np.int32)
                 ids = pa.array(np.frombuffer(b"".join(raw), "<i4"))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), ids)
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out_col])
+                made = [lists] if decoded_col is None else [lists, bpe.decode_lists(lists)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *added])
         bpe.cache.clear()
         release_memory()
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+    kinds = [T.ArrayType(T.IntegerType()), T.BinaryType()]
+    more = [T.StructField(n, k) for n, k in zip(added, kinds, strict=False)]
+    schema = T.StructType([*docs.schema.fields, *more])
     return docs.mapInArrow(batches, schema)
 
 
@@ -210,8 +217,8 @@ def _slices(batch: pa.RecordBatch, at: int, most: int = 8_000_000) -> Iterator[p
 
 def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, and the ids if asked for."""
-    coded = encode(docs.select("doc_id", F.col("text").cast("string").alias("text")), path, pattern).select("doc_id", "ids")
-    both = decode(coded, path, pattern)
+    picked = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    both = encode(picked, path, pattern, decoded_col="decoded").drop("text")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

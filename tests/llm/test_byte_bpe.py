@@ -50,6 +50,8 @@ def test_other_columns_are_carried_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 2)], DOCS).drop("ids")
     row = B.encode(docs, PATH, public_tokenizers.PATTERN).first()
     assert row.decoded == 2 and row.text == "a b" and len(row.ids) == 2
+    back = B.decode(B.encode(docs.drop("decoded"), PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)
+    assert bytes(back.first().decoded) == b"a b"
     assert run(spark, []) == Counter()
 
 
