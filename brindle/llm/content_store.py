@@ -29,7 +29,7 @@ import hashlib
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +38,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from brindle.llm.common import materialise, release_memory, shared_dir
 
+#: Words of printable ASCII, Latin-1 letters and common marks: composed already, lower-cased one to one.
+_PLAIN = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026]+$"
+#: How the vocabulary's pattern cuts such words after lower-casing.
+_PIECES = "('s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^0-9a-z\u00df-\u00f6\u00f8-\u00ff]+)"
 #: A control character: one byte, one pre-token between spaces, and no part of any other character.
-MARK = b"\x7f"
+MARK = "\x7f"
 WINDOW = 16
 MIN_CHUNK = 64
 MAX_CHUNK = 1024
@@ -52,48 +56,103 @@ CACHE = 400_000
 ROWS_PER_PART = 200_000
 
 
+def _grouped(values: pa.LargeBinaryArray, lengths: np.ndarray) -> pa.LargeBinaryArray:
+    """Runs of so many values, each put together."""
+    at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    if not len(values):
+        return pa.array([b""] * len(lengths), pa.large_binary())
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(np.ascontiguousarray(ends[at])), values.buffers()[2]])
+
+
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+
 class WordEncoder:
-    """Ids of texts, by the white-space separated word; the vocabulary drops white space between words."""
+    """Ids of texts, by the white-space separated word; the vocabulary drops white space between words.
+
+    The distinct words of a batch are cut into pre-tokens by Arrow's functions, and each distinct pre-token is
+    encoded once, by the library's merges without its slow normaliser and pattern; its last id is one that ends
+    a word. All words that ``_PLAIN`` doesn't fit go through the whole of the library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are busy with other tasks
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        if self.model.get_vocab_size() > 1 << 16:
+        size = self.model.get_vocab_size()
+        if size > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         (self.mark,) = self._ids(MARK).tolist()
-        self.cache: dict[bytes, bytes] = {}
+        self.merges = Tokenizer(self.model.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.ends_word = np.zeros(size, bool)
+        for token, i in self.model.get_vocab(with_added_tokens=False).items():
+            self.ends_word[i] = token.endswith("</w>")
+        self.pieces: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
+
+    def clear(self) -> None:
+        self.pieces.clear()
+        self.odd.clear()
+
+    def _known(self, cache: dict[str, bytes], wanted: list[str], learn: Callable[[list[str]], None]) -> pa.LargeBinaryArray:
+        new = [w for w in wanted if w not in cache]
+        if len(cache) + len(new) > CACHE:
+            cache.clear()
+            new = wanted
+        learn(new)
+        return pa.array(list(map(cache.__getitem__, wanted)), pa.large_binary())
+
+    def _learn_pieces(self, todo: list[str]) -> None:
+        for at in range(0, len(todo), 2000):
+            part = todo[at : at + 2000]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
+            raw, start = ids.tobytes(), 0
+            for piece, end in zip(part, (2 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist(), strict=True):
+                self.pieces[piece] = raw[start:end]
+                start = end
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn_odd(self, words: list[str]) -> None:
         """Encodes words many at a time, parted by a mark that is a pre-token and an id of its own."""
-        odd = [w for w in words if MARK in w]
-        todo = list(words.difference(odd))
+        marked = [w for w in words if MARK in w]
+        todo = [w for w in words if MARK not in w]
         for at in range(0, len(todo), 2000):
             part = todo[at : at + 2000]
-            ids = self._ids((b" " + MARK + b" ").join(part))
+            ids = self._ids(f" {MARK} ".join(part))
             raw, start = ids.tobytes(), 0
             for word, end in zip(part, [*np.flatnonzero(ids == self.mark).tolist(), ids.size], strict=True):
-                self.cache[word] = raw[2 * start : 2 * end]
+                self.odd[word] = raw[2 * start : 2 * end]
                 start = end + 1
-        for word in odd:
-            self.cache[word] = self._ids(word).tobytes()
-
-    def _ids(self, text: bytes) -> np.ndarray:
-        return np.array(self.model.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u2")
-
-    def encode_batch(self, texts: list[bytes | None], end_id: int) -> list[bytes]:
-        """Little-endian 16-bit ids of each UTF-8 text, closed by ``end_id``."""
+        for word in marked:
+            self.odd[word] = self._ids(word).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+
+    def _words(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of each distinct word, as little-endian 16-bit integers."""
+        fits = pc.match_substring_regex(words, _PLAIN)
+        plain, odd = pc.utf8_lower(words.filter(fits)), words.filter(pc.invert(fits))
+        cut = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(pc.replace_substring_regex(plain, _PIECES, r"\1 ")))
+        pieces = cut.flatten().dictionary_encode()
+        known = self._known(self.pieces, pieces.dictionary.to_pylist(), self._learn_pieces)
+        ids = [_grouped(known.take(pieces.indices), _lengths(cut)), self._known(self.odd, odd.to_pylist(), self._learn_odd)]
+        order = np.argsort(~fits.to_numpy(zero_copy_only=False), kind="stable")
+        back = np.empty_like(order)
+        back[order] = np.arange(order.size)
+        return pa.concat_arrays(ids).take(pa.array(back))
+
+    def encode_batch(self, texts: pa.StringArray, end_id: int) -> list[bytes]:
+        """Little-endian 16-bit ids of each text, closed by ``end_id``."""
         end = end_id.to_bytes(2, "little")
-        out = []
-        for at in range(0, len(texts), 64):
-            split = [t.lower().split() if t else [] for t in texts[at : at + 64]]  # of bytes: A-Z and ASCII space only
-            new = set().union(*split).difference(self.cache)
-            if len(self.cache) + len(new) > CACHE:
-                self.cache.clear()
-                new = set().union(*split)
-            self._learn(new)
-            out += [b"".join(map(self.cache.__getitem__, words)) + end for words in split]
-        return out
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words = split.flatten().dictionary_encode()
+        ids = self._words(words.dictionary).take(words.indices)
+        return [raw + end for raw in _grouped(ids, _lengths(split)).to_pylist()]
 
 
 @functools.lru_cache(maxsize=2)
@@ -145,7 +204,7 @@ def _code(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             for batch in _slices(whole):
                 met: set[bytes] = set()
                 n_ids, addresses, pieces = [], [], []
-                for raw in words.encode_batch(batch.column(2).to_pylist(), end_id):
+                for raw in words.encode_batch(batch.column(2), end_id):
                     ids = np.frombuffer(raw, "<u2")
                     names, parts, start = [], [], 0
                     for end in cut_points(ids).tolist():
@@ -169,17 +228,17 @@ def _code(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     ],
                     names=["doc_id", "row", "n_ids", "addresses", "pieces"],
                 )
-        words.cache.clear()
+        words.clear()
         release_memory()
 
     picked = docs.select(
-        "doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").cast("binary").alias("text")
+        "doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text")
     )
     schema = T.StructType([picked.schema["doc_id"], *T._parse_datatype_string(_CODED).fields])
     return picked.mapInArrow(batches, schema)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each, at least one row."""
     start, total = 0, 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()):

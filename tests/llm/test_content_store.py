@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -94,3 +95,15 @@ def test_combined_crc():
 
 def test_empty_table(spark):
     assert C.stored(frame(spark, []), PATH, 2).collect() == []
+
+
+def test_odd_words_are_encoded_as_the_library_does(library):
+    rnd = random.Random(4)
+    alphabet = "aZé' sÀ9.…—ßİıΣσς́ ÿŸÞ½²µª-_</w>|<|endoftext|>字\x7f\x1c\x85‘’tmdl\n"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 14))) for _ in range(4000)]
+    texts += [None, "", " ", "  a  "]
+    words = C.WordEncoder(PATH)
+    for _ in range(2):  # the second time from what it keeps
+        got = words.encode_batch(pa.array(texts, pa.string()), 2)
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library(t) for t in texts]
+    assert words.encode_batch(pa.array([], pa.string()), 2) == []
