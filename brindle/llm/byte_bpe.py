@@ -117,18 +117,9 @@ class ByteBpe:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        parts = []
-        for text in texts:
-            if not text:
-                parts.append([])
-            elif _PLAIN.fullmatch(text):
-                head, *rest = text.split(" ")
-                parts.append([head, *[" " + w for w in rest]])
-            else:
-                parts.append(self.split(text))
         out = []
-        for at in range(0, len(parts), 64):
-            part = parts[at : at + 64]
+        for at in range(0, len(texts), 64):
+            part = list(map(self._parts, texts[at : at + 64]))
             new = set().union(*part).difference(self.cache)
             if len(self.cache) + len(new) > CACHE:
                 self.cache.clear()
@@ -137,6 +128,15 @@ class ByteBpe:
             out += [b"".join(map(self.cache.__getitem__, words)) for words in part]
         return out
 
+    def _parts(self, text: str | None) -> list[str]:
+        """Words with the space before them, or pre-tokens: what can be encoded by itself."""
+        if not text:
+            return []
+        if _PLAIN.fullmatch(text):
+            head, *rest = text.split(" ")
+            return [head, *[" " + w for w in rest]]
+        return self.split(text)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
