@@ -6,7 +6,8 @@ with the label "bad" in labelled URLs; rules are pruned by support and confidenc
 shorter one with at least its confidence already covers is dropped. A URL is blocked if it has all
 tokens of some rule: an inverted index lists each rule under its rarest token, so a URL looks only at
 the rules of its own tokens. Explicit (host, path) rules come first: a rule fits its host and all
-subdomains if the URL's path starts with the rule's; the longest host wins, then the longest path.
+subdomains if the URL's path starts with the rule's; the longest rule, host and path together, wins, and
+of equally long ones that of the longer host.
 
 The classifier is fitted on at most ``FIT_ROWS`` labelled URLs (those of smallest hash), so rules are
 few: with at most ``FIT_TOKENS`` tokens a fitted URL and combinations of up to ``MAX_TOKENS``, there
