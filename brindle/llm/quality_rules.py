@@ -6,8 +6,15 @@ source a minimum-covariance-determinant (MCD) estimate of centre and scatter is
 steps: start from medians and median absolute deviations, then again and again keep the ``SUPPORT``
 share of vectors with the smallest Mahalanobis distance and take their mean and covariance, whose
 determinant never grows. Distances come from a Cholesky factor written out as column expressions, so
-there is no matrix on the driver and no limit on the number of groups. The scatter is scaled so that
-the median squared distance is that of a chi-square variable; a document beyond ``CUTOFF`` goes.
+there is no matrix on the driver and no limit on the number of groups.
+
+Statistics that hardly vary in a group add little to its distances, which therefore follow a scaled
+chi-square law of fewer than five degrees of freedom. The cube root of any such variable is nearly normal
+(Wilson and Hilferty), so each group's cube roots are brought to the median and the upper quartile of
+those of chi-square with five degrees, over all vectors of the group; the spread is never widened. A
+document beyond ``CUTOFF``, the 99.9 % point of that law, goes. Kept are texts whose statistics are
+within it, whatever they say, and odd ones of a kind that makes up over a quarter of its group, as the
+estimate then takes that kind for ordinary.
 
 A group of fewer than ``MIN_GROUP`` vectors uses its language's estimate, and a language of fewer
 that of the whole corpus; those are estimated the same way. Quantiles are mergeable sketches and sums
@@ -21,6 +28,8 @@ An empty table gives an empty result. Other columns, whatever their names, are i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +40,13 @@ GRAM = 3
 SUPPORT = 0.75
 STEPS = 3
 MIN_GROUP = 200
-#: Squared robust distance, in units where the median is that of chi-square with five degrees of freedom.
-#: Ordinary prose stays below 210, also where it is short and repeats a passage; running symbols give 700 and more.
-CUTOFF = 500.0
+#: Points of chi-square with five degrees of freedom: 99.9 %, the median and the upper quartile.
+CUTOFF = 20.515
 CHI2_MEDIAN = 4.351460
-#: Least standard deviation of each transformed statistic: a statistic that hardly varies says little.
-FEATURES = {"f_length": 0.25, "f_word_chars": 0.15, "f_symbols": 0.25, "f_dup_lines": 0.25, "f_repeat": 0.05}
+CHI2_QUARTILE = 6.625680
+#: Least standard deviation of each transformed statistic: a statistic that hardly varies says little, and the
+#: mean word length and the shares of short texts vary by chance.
+FEATURES = {"f_length": 0.25, "f_word_chars": 0.25, "f_symbols": 0.25, "f_dup_lines": 0.25, "f_repeat": 0.15}
 ACCURACY = 10_000
 
 _HASHES = "transform(w, x -> xxhash64(x))"
@@ -57,8 +67,8 @@ _COVERED = f"""aggregate(at, named_struct('n', 0L, 'end', 0L),
     (a, p) -> named_struct('n', a.n + p + {GRAM}L - greatest(a.end, p), 'end', p + {GRAM}L), a -> a.n)"""
 
 
-def base_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """``keep`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of every row.
+def base_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), more: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ``more`` (n_lines: not blank) and base_failed of every row.
 
     A 3-word window counts as repeated if a neighbour in hash order has the same three words.
     """
@@ -83,6 +93,7 @@ def base_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang",
         "n_symbols",
         (F.col("n_lines") - F.col("n_distinct")).cast("long").alias("n_dup_lines"),
         F.coalesce(F.expr(_COVERED), F.lit(0)).cast("long").alias("n_repeat_words"),
+        *more,
     ).withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     )
@@ -95,8 +106,8 @@ def _features(rows: DataFrame) -> DataFrame:
         F.ln(n),
         F.col("word_chars") / n,
         F.ln(1 + 100 * F.col("n_symbols") / F.col("word_chars")),
-        F.ln(F.lit(1.0) + F.col("n_dup_lines")),
-        F.sqrt(F.col("n_repeat_words") / n),
+        F.col("n_dup_lines") / F.col("n_lines"),
+        F.col("n_repeat_words") / n,
     )
     return rows.withColumns({k: F.when(~F.col("base_failed"), v) for k, v in zip(FEATURES, made, strict=True)})
 
@@ -142,7 +153,7 @@ def _join(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def mcd_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Per group ``key``: n, centre, Cholesky factor and ``scale`` (for the median squared distance)."""
+    """Per group ``key``: n, centre, Cholesky factor, ``scale`` (for the median squared distance) and ``spread`` (for the upper quartile)."""
     names = list(FEATURES)
     middle = rows.groupBy("key").agg(
         F.count("*").alias("n"), *(F.percentile_approx(f, 0.5, ACCURACY).alias(f"m_{i}") for i, f in enumerate(names))
@@ -169,8 +180,10 @@ def mcd_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
             *(F.covar_pop(a, b).alias(f"v_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j <= i),
         )
         now = materialise(_estimates(moments), "mcd")
-    medians = _join(rows, now).groupBy("key").agg(F.percentile_approx(_squared_distance(), 0.5, ACCURACY).alias("d2"))
-    scaled = medians.select("key", F.greatest(F.col("d2") / CHI2_MEDIAN, F.lit(1e-3)).alias("scale"))
+    points = _join(rows, now).groupBy("key").agg(F.percentile_approx(_squared_distance(), [0.5, 0.75], ACCURACY).alias("d2"))
+    scaled = points.select("key", "d2", F.greatest(F.col("d2")[0] / CHI2_MEDIAN, F.lit(1e-3)).alias("scale"))
+    above = (F.cbrt(F.col("d2")[1] / F.col("scale")) - math.cbrt(CHI2_MEDIAN)) / (math.cbrt(CHI2_QUARTILE) - math.cbrt(CHI2_MEDIAN))
+    scaled = scaled.select("key", "scale", F.greatest(above, F.lit(1.0)).alias("spread"))
     return materialise(now.join(scaled, "key"), "mcd-scaled")
 
 
@@ -188,8 +201,9 @@ def judge(stats: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP)
         at = found.withColumnRenamed("key", "at")
         at = at if level == 2 else at.where(F.col("n") >= min_group)
         own = vectors.withColumn("at", key(level, a, b)).join(F.broadcast(at) if few else at, "at", "left")
-        distance = _squared_distance() / F.col("scale")
-        own = own.withColumn(f"d_{level}", distance)
+        middle = math.cbrt(CHI2_MEDIAN)
+        root = middle + (F.cbrt(_squared_distance() / F.col("scale")) - middle) / F.col("spread")
+        own = own.withColumn(f"d_{level}", F.pow(root, 3))
         vectors = own.drop("at", *(c for c in at.columns if c != "at"))
     distance2 = F.coalesce("d_0", "d_1", "d_2")
     return vectors.withColumn("distance2", distance2).withColumn(
@@ -199,7 +213,7 @@ def judge(stats: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP)
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row."""
-    stats = materialise(base_statistics(docs), "quality")
+    stats = materialise(base_statistics(docs, more=("n_lines",)), "quality")
     return judge(stats, cutoff).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
@@ -209,5 +223,5 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``docs`` without the rows that quality_rules rejects."""
     rows = numbered(docs)
     flat = rows.select("rid", *(F.col(f"row.{c}").alias(c) for c in ("text", "lang", "source")))
-    stats = materialise(base_statistics(flat, ("rid", "lang", "source")), "quality")
+    stats = materialise(base_statistics(flat, ("rid", "lang", "source"), ("n_lines",)), "quality")
     return without(rows, judge(stats, cutoff).where("NOT kept"))

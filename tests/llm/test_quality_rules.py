@@ -79,6 +79,17 @@ def test_outliers_go_and_prose_stays(spark):
     assert all(got[r[0]].base_failed for r in short) and not any(got[r[0]].base_failed for r in junk)
 
 
+def test_words_parted_by_pipes_go_and_one_repeated_line_stays(spark):
+    rows, junk, _ = planted()
+    pipes = [(2000 + i, re.sub(r"(\S+ \S+) ", r"\1 | ", r[1]), "en", "hot") for i, r in enumerate(rows[:30])]
+    line = lambda t, n: " ".join(t.split()[:n])
+    repeat = [(3000 + i, f"{line(r[1], 9)}\n{line(r[1], 60)}\n{line(r[1], 9)}", "en", "hot") for i, r in enumerate(rows[:6])]
+    got = {r.doc_id: r for r in Q.quality_rules(frame(spark, rows + junk + pipes + repeat)).collect()}
+    assert all(got[r[0]].n_dup_lines == 1 for r in repeat)
+    assert all(got[r[0]].kept for r in rows + repeat)
+    assert not any(got[r[0]].kept or got[r[0]].base_failed for r in pipes)
+
+
 def test_filter_keeps_rows_as_they_are(spark):
     rows, junk, short = planted(60)
     docs = frame(spark, rows + rows[:2] + junk[:5] + short)
