@@ -49,7 +49,7 @@ def drop_columns_by_suffix(spark, sf_dir):
 def lenient_numeric_cast(spark, sf_dir):
     digits = F.regexp_extract("props", r"([0-9]+)", 1)
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), digits.alias("raw"))
-    texts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.substring("text", 1, 12).alias("raw"))
+    texts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("text").alias("raw"))
     return events.unionByName(texts).select("id", to_numeric(F.col("raw")).alias("number"))
 
 

@@ -37,3 +37,11 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_numeric_cast_reads_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, '{"k": 69}')], "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    texts = [(2, "100000000000 apples"), (3, "12345678901234"), (4, None)]
+    spark.createDataFrame(texts, "conv_id long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.id: r.number for r in entry.queries()["lenient_numeric_cast"](spark, str(tmp_path)).collect()}
+    assert got == {1: 69.0, 2: None, 3: 12345678901234.0, 4: None}
