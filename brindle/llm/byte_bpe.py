@@ -6,8 +6,10 @@ go by the best score, leftmost first: the merges of the rank file. Texts are cut
 the vocabulary's pattern and each is encoded for itself; a pre-token that is itself in the vocabulary
 is that one id, as in the rank file's own library. Decoding maps ids to pieces and pieces to bytes.
 
-A task keeps what it has encoded, by the space-separated word, in a dictionary of bounded size
-(``CACHE``) and gives the memory back at its end; a text whose white space is other than single spaces goes through the pattern as a whole.
+A task keeps what it has encoded, by the space-separated word, in a dictionary of at most ``CACHE`` words and
+``CACHE_BYTES`` bytes and gives the memory back at its end; a text whose white space is other than single spaces
+goes through the pattern as a whole. Batches are worked on in slices of about ``SLICE`` bytes of text, and
+``round_trip`` makes the digests in the worker: neither the text nor the decoded bytes go back.
 
 Defined results: a null or empty text has no ids and decodes to no bytes. Repeated rows stay; every
 other column is carried along unchanged; an empty table gives an empty result.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -30,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import release_memory
+from brindle.llm.common import in_batches, release_memory
 
 CACHE = 250_000
+CACHE_BYTES = 24_000_000
+SLICE = 2_000_000
 _ONE = struct.Struct("<I")
 #: No white space next to white space or at an end: then each space begins a pre-token, whatever stands before it.
 _PLAIN = re.compile(r"\S+(?:\s\S+)*")
@@ -94,11 +99,14 @@ class ByteBpe:
         self.bytes_of = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(self.ranks))]
         self.pieces: pa.Array | None = None
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
+
+    def forget(self) -> None:
+        self.cache.clear()
+        self.cached = 0
 
     def _encode_words(self, words: list[str]) -> None:
         """Puts the ids of each word, as little-endian 32-bit integers, into the cache."""
-        if len(self.cache) + len(words) > CACHE:
-            self.cache.clear()
         pre = [self.split(w) for w in words]
         coded: dict[str, bytes] = dict.fromkeys(t for ts in pre for t in ts)
         todo = []
@@ -113,7 +121,8 @@ class ByteBpe:
         for (token, _), ids in zip(todo, written, strict=True):
             coded[token] = struct.pack(f"<{len(ids)}I", *ids)
         for word, tokens in zip(words, pre, strict=True):
-            self.cache[word] = coded[tokens[0]] if len(tokens) == 1 else b"".join([coded[t] for t in tokens])
+            raw = self.cache[word] = coded[tokens[0]] if len(tokens) == 1 else b"".join([coded[t] for t in tokens])
+            self.cached += len(word) + len(raw)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -121,13 +130,19 @@ class ByteBpe:
         for at in range(0, len(texts), 64):
             part = list(map(self._parts, texts[at : at + 64]))
             new = set().union(*part).difference(self.cache)
-            if len(self.cache) + len(new) > CACHE:
-                self.cache.clear()
+            if len(self.cache) + len(new) > CACHE or self.cached > CACHE_BYTES:
+                self.forget()
                 new = set().union(*part)
             self._encode_words(list(new))
             out += [b"".join(map(self.cache.__getitem__, words)) for words in part]
         return out
 
+    def encode_lists(self, texts: pa.StringArray) -> pa.ListArray:
+        """The ids of each text as lists of 32-bit integers."""
+        raw = self.encode_batch(texts.to_pylist())
+        offsets = np.cumsum([0, *(len(x) // 4 for x in raw)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
     def _parts(self, text: str | None) -> list[str]:
         """Words with the space before them, or pre-tokens: what can be encoded by itself."""
         if not text:
@@ -172,19 +187,16 @@ def encode(
         bpe = tokenizer(path, pattern)
         for whole in it:
             for batch in _slices(whole, at):
-                raw = bpe.encode_batch(batch.column(at).to_pylist())
-                offsets = np.cumsum([0, *(len(x) // 4 for x in raw)], dtype=np.int32)
-                ids = pa.array(np.frombuffer(b"".join(raw), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(offsets), ids)
+                lists = bpe.encode_lists(batch.column(at))
                 made = [lists] if decoded_col is None else [lists, bpe.decode_lists(lists)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *added])
-        bpe.cache.clear()
+        bpe.forget()
         release_memory()
 
     kinds = [T.ArrayType(T.IntegerType()), T.BinaryType()]
     more = [T.StructField(n, k) for n, k in zip(added, kinds, strict=False)]
     schema = T.StructType([*docs.schema.fields, *more])
-    return docs.mapInArrow(batches, schema)
+    return in_batches(docs, batches, schema)
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -199,10 +211,10 @@ def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_c
         release_memory()
 
     schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.BinaryType())])
-    return rows.mapInArrow(batches, schema)
+    return in_batches(rows, batches, schema)
 
 
-def _slices(batch: pa.RecordBatch, at: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, at: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each, at least one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
     start, total = 0, 0
@@ -215,14 +227,25 @@ def _slices(batch: pa.RecordBatch, at: int, most: int = 8_000_000) -> Iterator[p
         yield batch.slice(start)
 
 
+def _hex_digests(values: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(v.as_buffer() or b"").hexdigest() for v in values], pa.string())
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, and the ids if asked for."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path, pattern)
+        for whole in it:
+            for batch in _slices(whole, 1):
+                lists = bpe.encode_lists(batch.column(1))
+                written = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, lists.values.cast(pa.string())), ",")
+                columns = [batch.column(0), pc.list_value_length(lists).cast(pa.int64()), _hex_digests(written), _hex_digests(bpe.decode_lists(lists))]
+                yield pa.RecordBatch.from_arrays([*columns, *([lists] if with_ids else [])], names=schema.names)
+        bpe.forget()
+        release_memory()
+
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    both = encode(picked, path, pattern, decoded_col="decoded").drop("text")
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        *(["ids"] if with_ids else []),
-    )
+    made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    schema = T.StructType([picked.schema["doc_id"], *T._parse_datatype_string(made).fields])
+    return in_batches(picked, batches, schema)

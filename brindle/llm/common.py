@@ -3,30 +3,59 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Parquet writers hold a row group on the heap; small ones keep several tasks of an executor small.
+ROW_GROUP_BYTES = 32 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured (tests)."""
+    """The folder that driver and executors share. Where ``spark.checkpoint.dir`` is unset, a local one is set if all
+    run in one process (tests); on a cluster nobody knows one then, and that raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.gettempdir()}/brindle-shared"
     return f"{path.rstrip('/')}/brindle"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, and a lost executor loses nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends, and a lost executor loses nothing.
+
+    The table stays as long as results may read it; ``clean_shared`` deletes all that a session has left.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_shared(spark: SparkSession) -> bool:
+    """Deletes what this application has written between steps; for when its results are written or no longer needed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Arrow batches end at so many bytes: ten thousand long texts would fill an executor, or pass Arrow's 2 GB.
+BATCH_BYTES = 4_000_000
+
+
+def in_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of about ``BATCH_BYTES`` (a row is never cut); the session keeps that setting."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def release_memory() -> None:
     """Gives a worker's free memory back to the system at the end of a task: idle workers stay alive."""
     pa.default_memory_pool().release_unused()

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer, pre_tokenizers
 
-from brindle.llm.common import materialise, release_memory, shared_dir
+from brindle.llm.common import in_batches, materialise, release_memory, shared_dir
 
 #: Words of printable ASCII, Latin-1 letters and common marks: composed already, lower-cased one to one.
 _PLAIN = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026]+$"
@@ -235,7 +235,7 @@ def _code(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         "doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text")
     )
     schema = T.StructType([picked.schema["doc_id"], *T._parse_datatype_string(_CODED).fields])
-    return picked.mapInArrow(batches, schema)
+    return in_batches(picked, batches, schema)
 
 
 def _slices(batch: pa.RecordBatch, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
@@ -290,7 +290,7 @@ def _part_roots(recipes: DataFrame) -> DataFrame:
         )
 
     dealt = recipes.select("part", "n_ids", "addresses", "position").repartition("part").sortWithinPartitions("part", "position")
-    return dealt.mapInArrow(batches, _PARTS)
+    return in_batches(dealt, batches, _PARTS)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, rows_per_part: int = ROWS_PER_PART) -> None:
@@ -370,7 +370,7 @@ def _chunk_digests(chunks: DataFrame) -> DataFrame:
                 crcs.append(zlib.crc32(np.frombuffer(piece, "<u2").astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(crcs, pa.int64())], names=["address", "n", "crc"])
 
-    return chunks.select("address", "bytes").mapInArrow(batches, "address binary, n int, crc long")
+    return in_batches(chunks.select("address", "bytes"), batches, "address binary, n int, crc long")
 
 
 def verify(spark: SparkSession, path: str) -> None:
@@ -435,6 +435,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 def stored(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Writes a store in the shared folder and reads it back: see read_store."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}"
     write_store(docs.select("doc_id", "text"), path, tokenizer_path, end_id)
     return read_store(spark, path)

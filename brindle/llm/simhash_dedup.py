@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import materialise, numbered, release_memory, without
+from brindle.llm.common import in_batches, materialise, numbered, release_memory, without
 
 SEED = 42
 MAX_DISTANCE = 2
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", picked.schema["id"].dataType), T.StructField("fp", T.LongType())])
-    return picked.mapInArrow(batches, schema).select(F.col("id").alias(id_col), "fp")
+    return in_batches(picked, batches, schema).select(F.col("id").alias(id_col), "fp")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,7 +151,7 @@ def _bucket_links(buckets: DataFrame, bucket_limit: int | None) -> DataFrame:
             yield out([o[0] for o in over], [o[1] for o in over], [None] * len(over))
 
     dealt = buckets.select("key", "key2", "fp").repartition("key", "key2").sortWithinPartitions("key", "key2", "fp")
-    return dealt.mapInArrow(links, _LINKS)
+    return in_batches(dealt, links, _LINKS)
 
 
 def near_links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
