@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 from brindle.llm import url_rules as U
@@ -32,7 +33,7 @@ ODD = [None, "", "no mark", "://", "http://", "HTTP://A.Example.NET/en/x?y#z", "
 
 def test_hosts_paths_and_explicit_rules(spark, sf_dir):
     urls = ODD + [r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()] + ["http://x.net/" + "a/" * 40_000]
-    got = U.judge(frame(spark, urls), [], U.EXPLICIT).collect()
+    got = U.judge(frame(spark, urls), U.Mined([], {}), U.EXPLICIT).collect()
     assert len(got) == len(urls)
     for r in got:
         host, path = brute_parts(urls[r.page_id])
@@ -40,6 +41,27 @@ def test_hosts_paths_and_explicit_rules(spark, sf_dir):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or "allow")
 
 
+def brute_rules(rows, longest):
+    """Every combination of tokens, minimal ones only, in the order of their length."""
+    baskets = [(set(U.url_tokens(u)), b) for u, b in rows]
+    all_bad, kept = sum(b for _, b in baskets), {}
+    every = sorted({t for ts, b in baskets if b for t in ts})
+    for k in range(1, longest + 1):
+        for tokens in itertools.combinations(every, k):
+            hit = [b for t, b in baskets if t.issuperset(tokens)]
+            if U.passes(sum(hit), len(hit), all_bad, len(rows)) and not any(set(r) < set(tokens) for r in kept):
+                kept[tokens] = (sum(hit) / len(hit), sum(hit))
+    return kept
+
+
+def rounded(rules):
+    return {r: (round(c, 9), n) for r, (c, n) in rules.items()}
+
+
+def labelled(spark, rows):
+    return spark.createDataFrame(rows, "url string, bad boolean")
+
+
 def test_mined_rules_equal_brute_force(spark):
     rnd = random.Random(1)
     rows = []
@@ -48,24 +70,44 @@ def test_mined_rules_equal_brute_force(spark):
         ending, query = rnd.choice(["", ".html"]), rnd.choice(["", "?page=2"])
         bad = host.startswith("casino") or (host.startswith("blog") and query and ending)
         rows.append((f"http://{host}/en/{i}{ending}{query}", bool(bad) != (rnd.random() < 0.03)))
-    got = {r[0]: (round(r[1], 9), r[2]) for r in U.mine(spark.createDataFrame(rows, "url string, bad boolean"))}
-    baskets = [(set(U.url_tokens(u)), b) for u, b in rows]
-    every = sorted(set().union(*(t for t, _ in baskets)))
-    rules = []
-    for k in range(1, U.MAX_TOKENS + 1):
-        for tokens in itertools.combinations(every, k):
-            hit = [b for t, b in baskets if t.issuperset(tokens)]
-            if sum(hit) >= max(U.MIN_COUNT, U.MIN_SUPPORT * len(rows)) and sum(hit) / len(hit) >= U.MIN_CONFIDENCE:
-                rules.append((tokens, sum(hit) / len(hit), sum(hit)))
-    want = {r[0]: (round(r[1], 9), r[2]) for r in U.prune(rules)}
-    assert got == want and any("word:casino" in r for r in got)
+    mined = U.mine(labelled(spark, rows))
+    got = mined.spelled_out()
+    assert rounded(got) == rounded(brute_rules(rows, 3)) and any("word:casino" in r for r in got) and any(len(r) == 3 for r in got)
 
     held_out = [(f"http://casino-win.example.com/en/{i}", "block") for i in range(9000, 9020)]
     held_out += [(f"http://news.example.org/en/{i}.html", "allow") for i in range(9000, 9020)]
-    verdicts = U.judge(frame(spark, [u for u, _ in held_out]), list(got), {}).collect()
+    verdicts = U.judge(frame(spark, [u for u, _ in held_out]), mined, {}).collect()
     assert [r.verdict for r in sorted(verdicts)] == [v for _, v in held_out]
 
 
+def test_long_shared_paths_and_many_items(spark):
+    """All tokens count, also those far along a path, and FP-growth ends."""
+    rnd = random.Random(4)
+    shared = "/".join(f"seg{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    rows = [(f"http://a.example/{shared}/{rnd.choice('xyz')}/tail{'bad' if i % 3 == 0 else 'good'}", i % 3 == 0) for i in range(300)]
+    began = time.monotonic()
+    got = U.mine(labelled(spark, rows)).spelled_out()
+    assert time.monotonic() - began < 60
+    assert ("path:tailbad",) in got and rounded(got) == rounded(brute_rules(rows, 1))
+
+    flags = "abcdefghijklmnopqrst"  # each URL has its own choice of many segments, so none are equal; bad is what has three of them
+    rows = []
+    for i in range(150):
+        have = rnd.sample(flags, 14)
+        rows.append((f"http://a.example/{'/'.join(sorted(have))}/{i}", {"a", "g", "p"} <= set(have)))
+    got = U.mine(labelled(spark, rows)).spelled_out()
+    want = brute_rules(rows, 3)
+    assert ("path:a", "path:g", "path:p") in want and rounded({r: x for r, x in got.items() if len(r) <= 3}) == rounded(want)
+
+
+def test_cover_holds_every_three_items():
+    items = [f"i{k:02}" for k in range(23)]
+    parts = [set(p) for p in U.baskets_of(items)]
+    assert max(map(len, parts)) <= U.FIT_ITEMS
+    assert all(any(p.issuperset(c) for p in parts) for c in itertools.combinations(items, U.COVER))
+    assert list(U.baskets_of(items[:12])) == [items[:12]]
+
+
 def test_index_equals_trying_every_rule():
     rnd = random.Random(2)
     rules = [tuple(sorted(rnd.sample("abcdefgh", rnd.randrange(1, 4)))) for _ in range(30)]
@@ -73,6 +115,13 @@ def test_index_equals_trying_every_rule():
     for _ in range(300):
         tokens = rnd.sample("abcdefgh", rnd.randrange(0, 6))
         assert index.match(tokens) == any(set(r) <= set(tokens) for r in rules)
+        assert sorted(index.matches(tokens)) == [i for i, r in enumerate(rules) if set(r) <= set(tokens)]
+
+
+def test_chance_makes_no_rules(spark):
+    rnd = random.Random(6)
+    rows = [(f"http://h{rnd.randrange(60)}.example/{rnd.choice('abc')}/{i}", rnd.random() < 0.6) for i in range(600)]
+    assert U.mine(labelled(spark, rows)).rules == []
 
 
 def test_labels_reach_pages_and_empty_tables(spark):
