@@ -3,10 +3,11 @@
 Everything on the main path is DataFrame or SQL functions. Base statistics are array expressions within
 a row. The documents that pass the base rules give a vector of transformed statistics; per language and
 source a minimum-covariance-determinant (MCD) estimate of centre and scatter is made by concentration
-steps: start from medians and median absolute deviations, then again and again keep the ``SUPPORT``
-share of vectors with the smallest Mahalanobis distance and take their mean and covariance, whose
-determinant never grows. Distances come from a Cholesky factor written out as column expressions, so
-there is no matrix on the driver and no limit on the number of groups.
+steps: again and again keep the ``SUPPORT`` share of vectors with the smallest Mahalanobis distance and take their mean
+and covariance. There are ``STARTS`` starts: medians with median absolute deviations, and means and covariances of small
+subsets chosen by hash. After ``FIRST_STEPS`` steps the one of least determinant goes on, group by group, until its
+determinant falls no more (``MAX_STEPS`` at most; a group that settled takes no further steps). Distances come from a
+Cholesky factor written out as column expressions, so there is no matrix on the driver and no limit on the number of groups.
 
 Statistics that hardly vary in a group add little to its distances, which therefore follow a scaled
 chi-square law of fewer than five degrees of freedom. The cube root of any such variable is nearly normal
@@ -16,10 +17,12 @@ document beyond ``CUTOFF``, the 99.9 % point of that law, goes. Kept are texts w
 within it, whatever they say, and odd ones of a kind that makes up over a quarter of its group, as the
 estimate then takes that kind for ordinary.
 
-A group of fewer than ``MIN_GROUP`` vectors uses its language's estimate, and a language of fewer
-that of the whole corpus; those are estimated the same way. Quantiles are mergeable sketches and sums
-are pre-aggregated, so a language or source with a third of all rows costs a row a task. The
-per-document vectors are written once and read by the steps.
+A group of fewer than ``MIN_GROUP`` vectors is judged by its language's estimate, and a language of fewer
+by that of the whole corpus; these are estimated only where some group needs them. Quantiles are read from histograms of
+fixed, relatively narrow bins (``BINS`` to a factor of e; the greatest value of the bin that holds the quantile), so they
+don't depend on partitions, and a group's shuffle is as small as its histogram; sums are pre-aggregated. So a language
+or source with a third of all rows costs a histogram a task. The per-document vectors are written once and read by the
+steps.
 
 Defined results: a null text has no words and fails the base rules, as every text under 50 words
 does. Null languages and sources are groups of their own. Repeated rows count and return repeatedly.
@@ -32,14 +35,22 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brindle.llm.common import materialise, numbered, without
 
 SPACE = r"[\x20\x09-\x0D]+"
 GRAM = 3
 SUPPORT = 0.75
-STEPS = 3
+STARTS = 3
+SUBSET = 50
+FIRST_STEPS = 2
+MAX_STEPS = 40
+SETTLED = 1e-6
 MIN_GROUP = 200
+BINS = 2048
+LOWEST = 1e-3
+BROADCAST_GROUPS = 20_000
 #: Points of chi-square with five degrees of freedom: 99.9 %, the median and the upper quartile.
 CUTOFF = 20.515
 CHI2_MEDIAN = 4.351460
@@ -47,31 +58,43 @@ CHI2_QUARTILE = 6.625680
 #: Least standard deviation of each transformed statistic: a statistic that hardly varies says little, and the
 #: mean word length and the shares of short texts vary by chance.
 FEATURES = {"f_length": 0.25, "f_word_chars": 0.25, "f_symbols": 0.25, "f_dup_lines": 0.25, "f_repeat": 0.15}
-ACCURACY = 10_000
 
 _HASHES = "transform(w, x -> xxhash64(x))"
-#: Hash of each 3-word window above its position, so that sorting brings equal windows together.
-_WINDOWS = f"""sort_array(slice(transform(h, (x, i) ->
-    shiftleft(xxhash64(x, get(h, i + 1), get(h, i + 2)), bits) | cast(i AS BIGINT)), 1, size(h) - {GRAM - 1}))"""
+_WINDOW_HASH = "xxhash64(x, get(h, i + 1), get(h, i + 2))"
 
 
-def _same(step: int) -> str:
-    other = f"get(s, j + ({step}))"
+def _windows(window_hash: str) -> str:
+    """Hash of each 3-word window above its position, so that sorting brings equal windows together."""
+    return f"sort_array(slice(transform(h, (x, i) -> shiftleft({window_hash}, bits) | cast(i AS BIGINT)), 1, size(h) - {GRAM - 1}))"
+
+
+def _same_words(other: str) -> str:
     here, there = "cast(x & mask AS INT)", f"cast({other} & mask AS INT)"
-    words = " AND ".join(f"get(w, {here} + {k}) = get(w, {there} + {k})" for k in range(GRAM))
-    return f"(shiftright(x, bits) = shiftright({other}, bits) AND {words})"
+    return " AND ".join(f"get(w, {here} + {k}) = get(w, {there} + {k})" for k in range(GRAM))
+
+
+def _same_hash(other: str) -> str:
+    return f"shiftright(x, bits) = shiftright({other}, bits)"
+
+
+def _repeated() -> str:
+    """Positions of the windows that occur again. Windows of equal hash are neighbours; only where such neighbours have
+    different words, all windows of that hash are compared."""
+    before, after = "get(s, j - 1)", "get(s, j + 1)"
+    near = " OR ".join(f"({_same_hash(y)} AND {_same_words(y)})" for y in (before, after))
+    collided = f"coalesce({_same_hash(before)}, false) OR coalesce({_same_hash(after)}, false)"
+    anywhere = f"exists(s, y -> y <> x AND {_same_hash('y')} AND {_same_words('y')})"
+    return f"sort_array(array_compact(transform(s, (x, j) -> IF(coalesce({near}, false) OR (({collided}) AND {anywhere}), x & mask, CAST(NULL AS BIGINT)))))"
 
 
-_REPEATED = f"""sort_array(array_compact(transform(s, (x, j) -> IF({_same(-1)} OR {_same(1)}, x & mask, CAST(NULL AS BIGINT)))))"""
 _COVERED = f"""aggregate(at, named_struct('n', 0L, 'end', 0L),
     (a, p) -> named_struct('n', a.n + p + {GRAM}L - greatest(a.end, p), 'end', p + {GRAM}L), a -> a.n)"""
 
 
-def base_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), more: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ``more`` (n_lines: not blank) and base_failed of every row.
-
-    A 3-word window counts as repeated if a neighbour in hash order has the same three words.
-    """
+def base_statistics(
+    docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), more: tuple[str, ...] = (), window_hash: str = _WINDOW_HASH
+) -> DataFrame:
+    """``keep`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ``more`` (n_lines: not blank) and base_failed of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select(*keep, text.alias("text"))
@@ -84,7 +107,7 @@ def base_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang",
     )
     rows = rows.withColumns({"n_words": F.size("w").cast("long"), "n_lines": F.size("lines"), "n_distinct": F.size(F.array_distinct("lines"))})
     rows = rows.withColumn("bits", F.length(F.bin("n_words"))).withColumn("mask", F.expr("shiftleft(1L, bits) - 1L"))
-    for name, made in (("h", _HASHES), ("s", _WINDOWS), ("at", _REPEATED)):
+    for name, made in (("h", _HASHES), ("s", _windows(window_hash)), ("at", _repeated())):
         rows = rows.withColumn(name, F.expr(f"IF(n_words > {GRAM}, {made}, CAST(NULL AS array<bigint>))"))
     return rows.select(
         *keep,
@@ -112,15 +135,27 @@ def _features(rows: DataFrame) -> DataFrame:
     return rows.withColumns({k: F.when(~F.col("base_failed"), v) for k, v in zip(FEATURES, made, strict=True)})
 
 
-def _levels(rows: DataFrame) -> DataFrame:
-    """Each vector once under its language and source, its language, and the corpus; ``level`` 0 is the finest."""
-    key = F.struct("level", "lang", "source")
-    none = F.lit(None).cast("string")
-    at = [(0, F.col("lang"), F.col("source")), (1, F.col("lang"), none), (2, none, none)]
-    levels = F.array(*(F.struct(F.lit(i).alias("level"), a.alias("lang"), b.alias("source")) for i, a, b in at))
-    return rows.select(*FEATURES, F.explode(levels).alias("g")).select(*FEATURES, "g.*").withColumn(
-        "key", F.xxhash64(F.to_json(key, {"ignoreNullFields": "false"}))
-    )
+def _key(level: int) -> Column:
+    """Of the group of a row at that level: 0 language and source, 1 language, 2 the corpus."""
+    parts = (F.col("lang").isNull(), F.col("lang"), F.col("source").isNull(), F.col("source"))
+    return F.xxhash64(F.lit(level), *parts[: (4, 2, 0)[level]])
+
+
+def _with_groups(vectors: DataFrame, min_group: int) -> DataFrame:
+    """Adds ``judge``, the key of the group that judges the row, and ``keys``, those of the groups that it is counted in."""
+    groups = vectors.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n"))
+    within = Window.partitionBy("lang")
+    groups = groups.withColumn("lang_n", F.sum("n").over(within))
+    level = F.when(F.col("n") >= min_group, 0).when(F.col("lang_n") >= min_group, 1).otherwise(2)
+    groups = groups.withColumn("level", level).withColumn("lang_needed", F.max((F.col("level") == 1) & (F.col("n") > 0)).over(within))
+    groups = groups.select(_key(0).alias("key0"), "level", "lang_needed")
+    groups = materialise(groups, "quality-groups")
+    corpus_needed = not groups.where("level = 2").isEmpty()
+    keys = [F.when(F.col("level") == 0, _key(0)), F.when(F.col("lang_needed"), _key(1)), F.when(F.lit(corpus_needed), _key(2))]
+    judge = F.when(F.col("level") == 0, _key(0)).when(F.col("level") == 1, _key(1)).otherwise(_key(2))
+    few = groups.count() <= BROADCAST_GROUPS
+    met = vectors.withColumn("key0", _key(0)).join(F.broadcast(groups) if few else groups, "key0")
+    return met.withColumns({"judge": judge, "keys": F.array_compact(F.array(*keys))}).drop("key0", "level", "lang_needed")
 
 
 def _squared_distance() -> Column:
@@ -134,7 +169,7 @@ def _squared_distance() -> Column:
 
 
 def _estimates(sums: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor of the covariance v_ij, its diagonal raised to the least variances."""
+    """Adds the Cholesky factor of the covariance v_ij, its diagonal raised to the least variances, and ``log_det``."""
     floors = list(FEATURES.values())
     for j in range(len(floors)):
         inner = "".join(f" - pow(l_{j}_{k}, 2)" for k in range(j))
@@ -144,71 +179,106 @@ def _estimates(sums: DataFrame) -> DataFrame:
             cross = "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
             below[f"l_{i}_{j}"] = F.expr(f"(v_{i}_{j}{cross}) / l_{j}_{j}")
         sums = sums.withColumns(below) if below else sums
-    return sums.select("key", "n", *(c for c in sums.columns if c[:2] in ("m_", "l_")))
+    log_det = F.expr(" + ".join(f"2 * ln(l_{j}_{j})" for j in range(len(floors))))
+    return sums.withColumn("log_det", log_det).select("key", "start", "log_det", *(c for c in sums.columns if c[:2] in ("m_", "l_") and c != "log_det"))
 
 
-def _join(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _moments(rows: DataFrame) -> DataFrame:
+    """Estimates from the mean and covariance of each key's and start's rows."""
+    names = list(FEATURES)
+    return _estimates(
+        rows.groupBy("key", "start").agg(
+            *(F.avg(f).alias(f"m_{i}") for i, f in enumerate(names)),
+            *(F.covar_pop(a, b).alias(f"v_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j <= i),
+        )
+    )
+
+
+def _join(rows: DataFrame, groups: DataFrame, on: str | list[str] = "key") -> DataFrame:
     """Rows with their group's columns; groups are broadcast only when a count shows them to be few."""
-    return rows.join(F.broadcast(groups) if groups.count() <= 20_000 else groups, "key")
+    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, on)
+
+
+def quantiles(rows: DataFrame, by: list[str], values: dict[str, str], shares: tuple[float, ...]) -> DataFrame:
+    """``by`` and, for each name in ``values`` (to a column that is never negative), an array of its quantiles by group."""
+    cells = F.array(*(F.struct(F.lit(k).alias("name"), F.col(c).alias("v")) for k, c in values.items()))
+    each = rows.select(*by, F.inline(cells)).withColumn("bin", F.floor(F.ln(F.col("v") + LOWEST) * BINS).cast("int"))
+    bins = each.groupBy(*by, "name", "bin").agg(F.count("*").alias("n"), F.max("v").alias("v"))
+    whole = Window.partitionBy(*by, "name")
+    bins = bins.withColumns({"up_to": F.sum("n").over(whole.orderBy("bin")), "of": F.sum("n").over(whole)})
+    found = [F.min(F.when(F.col("up_to") >= F.ceil(F.col("of") * q), F.struct("bin", "v")))["v"] for q in shares]
+    wide = bins.groupBy(*by, "name").agg(F.array(*found).alias("q"))
+    return wide.groupBy(*by).agg(*(F.max(F.when(F.col("name") == k, F.col("q"))).alias(k) for k in values))
 
 
-def mcd_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Per group ``key``: n, centre, Cholesky factor, ``scale`` (for the median squared distance) and ``spread`` (for the upper quartile)."""
+def _starts(rows: DataFrame, n_starts: int) -> DataFrame:
+    """Estimates to start from, by key: the robust one without correlations (start 0), and those of small subsets."""
     names = list(FEATURES)
-    middle = rows.groupBy("key").agg(
-        F.count("*").alias("n"), *(F.percentile_approx(f, 0.5, ACCURACY).alias(f"m_{i}") for i, f in enumerate(names))
+    middle = quantiles(rows, ["key"], {f"m_{i}": f for i, f in enumerate(names)}, (0.5,))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    middle = materialise(middle.join(sizes, "key").select("key", "n", *(F.col(f"m_{i}")[0].alias(f"m_{i}") for i in range(len(names)))), "mcd-median")
+    off = _join(rows, middle).select("key", *(F.abs(F.col(f) - F.col(f"m_{i}")).alias(f) for i, f in enumerate(names)))
+    spread = quantiles(off, ["key"], {f"d_{i}": f for i, f in enumerate(names)}, (0.5,))
+    robust = middle.join(spread, "key").withColumns(
+        {f"v_{i}_{j}": F.pow(1.4826 * F.col(f"d_{i}")[0], 2) if i == j else F.lit(0.0) for i in range(len(names)) for j in range(i + 1)}
     )
-    middle = materialise(middle, "mcd-median")
-    spread = _join(rows, middle).groupBy("key").agg(
-        F.first("n").alias("n"),
-        *(F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(names))),
-        *(
-            F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, ACCURACY), F.lit(FEATURES[f])).alias(f"l_{i}_{i}")
-            for i, f in enumerate(names)
-        ),
-    )
-    zeros = {f"l_{i}_{j}": F.lit(0.0) for i in range(len(names)) for j in range(i)}
-    now = materialise(spread.withColumns(zeros), "mcd-start")
-    for _ in range(steps):
-        far = _join(rows, now).withColumn("d2", _squared_distance())
-        edge = far.groupBy("key").agg(F.percentile_approx("d2", SUPPORT, ACCURACY).alias("edge"))
-        edge = materialise(edge, "mcd-edge")
-        near = _join(far.select("key", "n", "d2", *names), edge).where("d2 <= edge")
-        moments = near.groupBy("key").agg(
-            F.first("n").alias("n"),
-            *(F.avg(f).alias(f"m_{i}") for i, f in enumerate(names)),
-            *(F.covar_pop(a, b).alias(f"v_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j <= i),
-        )
-        now = materialise(_estimates(moments), "mcd")
-    points = _join(rows, now).groupBy("key").agg(F.percentile_approx(_squared_distance(), [0.5, 0.75], ACCURACY).alias("d2"))
+    found = _estimates(robust.withColumn("start", F.lit(0)))
+    if n_starts > 1:
+        among = F.ceil(F.col("n") / SUBSET)
+        chosen = F.filter(F.sequence(F.lit(1), F.lit(n_starts - 1)), lambda k: F.pmod(F.xxhash64(k, *names), among) == 0)
+        subsets = _join(rows, middle.select("key", "n")).select("key", *names, F.explode(chosen).alias("start"))
+        found = found.unionByName(_moments(subsets))
+    return materialise(found, "mcd-start")
+
+
+def _concentrate(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """The estimates after one concentration step from each of ``now``."""
+    far = _join(rows, now).select("key", "start", *FEATURES, _squared_distance().alias("d2"))
+    edge = quantiles(far, ["key", "start"], {"edge": "d2"}, (SUPPORT,)).select("key", "start", F.col("edge")[0].alias("edge"))
+    edge = materialise(edge, "mcd-edge")
+    return materialise(_moments(_join(far, edge, ["key", "start"]).where("d2 <= edge")), "mcd")
+
+
+def mcd_estimates(rows: DataFrame, n_starts: int = STARTS) -> DataFrame:
+    """Per group ``key``: centre, Cholesky factor, ``scale`` (for the median squared distance) and ``spread`` (for the upper quartile)."""
+    now = _starts(rows, n_starts)
+    for _ in range(FIRST_STEPS):
+        now = _concentrate(rows, now)
+    columns = [c for c in now.columns if c != "key"]
+    best = now.groupBy("key").agg(F.min_by(F.struct(*columns), F.struct("log_det", "start")).alias("b"))
+    now = materialise(best.select("key", "b.*"), "mcd-best")
+    settled = now.limit(0)
+    for _ in range(MAX_STEPS):
+        stepped = _concentrate(rows, now)
+        fell = stepped.join(now.select("key", F.col("log_det").alias("was")), "key").withColumn("fell", F.col("log_det") < F.col("was") - SETTLED)
+        fell = materialise(fell, "mcd-step")
+        done = now.join(fell.where("NOT fell").select("key"), "key")
+        settled = settled.unionByName(done)
+        now = fell.where("fell").drop("was", "fell")
+        if now.isEmpty():
+            break
+    found = materialise(settled.unionByName(now).drop("start"), "mcd-settled")
+    far = _join(rows, found).select("key", _squared_distance().alias("d2"))
+    points = quantiles(far, ["key"], {"d2": "d2"}, (0.5, 0.75))
     scaled = points.select("key", "d2", F.greatest(F.col("d2")[0] / CHI2_MEDIAN, F.lit(1e-3)).alias("scale"))
     above = (F.cbrt(F.col("d2")[1] / F.col("scale")) - math.cbrt(CHI2_MEDIAN)) / (math.cbrt(CHI2_QUARTILE) - math.cbrt(CHI2_MEDIAN))
     scaled = scaled.select("key", "scale", F.greatest(above, F.lit(1.0)).alias("spread"))
-    return materialise(now.join(scaled, "key"), "mcd-scaled")
+    return materialise(found.join(scaled, "key"), "mcd-scaled")
 
 
 def judge(stats: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
     """``stats`` (as base_statistics gives them, written before) with ``distance2`` and ``kept``."""
-    vectors = _features(stats)
-    wanted = _levels(vectors.where("NOT base_failed"))
-    found = mcd_estimates(wanted)
-    key = lambda level, a, b: F.xxhash64(
-        F.to_json(F.struct(F.lit(level).alias("level"), a.alias("lang"), b.alias("source")), {"ignoreNullFields": "false"})
-    )
-    none = F.when(F.col("n_words").isNull(), "")  # always null, but no constant: joins stay equi-joins
-    few = found.count() <= 20_000
-    for level, a, b in ((0, F.col("lang"), F.col("source")), (1, F.col("lang"), none), (2, none, none)):
-        at = found.withColumnRenamed("key", "at")
-        at = at if level == 2 else at.where(F.col("n") >= min_group)
-        own = vectors.withColumn("at", key(level, a, b)).join(F.broadcast(at) if few else at, "at", "left")
-        middle = math.cbrt(CHI2_MEDIAN)
-        root = middle + (F.cbrt(_squared_distance() / F.col("scale")) - middle) / F.col("spread")
-        own = own.withColumn(f"d_{level}", F.pow(root, 3))
-        vectors = own.drop("at", *(c for c in at.columns if c != "at"))
-    distance2 = F.coalesce("d_0", "d_1", "d_2")
-    return vectors.withColumn("distance2", distance2).withColumn(
+    vectors = _with_groups(_features(stats), min_group)
+    rows = materialise(vectors.where("NOT base_failed").select(F.explode("keys").alias("key"), *FEATURES), "quality-vectors")
+    found = mcd_estimates(rows).withColumnRenamed("key", "judge")
+    few = found.count() <= BROADCAST_GROUPS
+    own = vectors.drop("keys").join(F.broadcast(found) if few else found, "judge", "left")
+    middle = math.cbrt(CHI2_MEDIAN)
+    root = middle + (F.cbrt(_squared_distance() / F.col("scale")) - middle) / F.col("spread")
+    own = own.withColumn("distance2", F.pow(root, 3)).withColumn(
         "kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance2") > cutoff, F.lit(False))
-    ).drop("d_0", "d_1", "d_2", *FEATURES)
+    )
+    return own.select(*stats.columns, "distance2", "kept")
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
