@@ -11,17 +11,17 @@ ROWS = "conv_id long, turn long, role string, text string, segment string, parts
 
 def expected(rows):
     """Digests of the texts themselves; formatted_chars from the escape rules."""
-    rows = [*rows, (-1, 0, "user", C.CONTROL_TEXT), (-1, 1, "assistant", C.CONTROL_TEXT)]
+    rows = [*((False, *r) for r in rows), (True, -1, 0, "user", C.CONTROL_TEXT), (True, -1, 1, "assistant", C.CONTROL_TEXT)]
     convs = defaultdict(list)
-    for conv, turn, role, text in rows:
-        convs[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    for control, conv, turn, role, text in rows:
+        convs[control, conv].append((turn is not None, turn or 0, role is not None, role or "", text or ""))
     out = []
-    for conv, turns in convs.items():
-        turns.sort()
+    for (_, conv), turns in convs.items():
+        turns = [t[3:] for t in sorted(turns)]
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        loss = "".join(t for _, _, r, t in turns if r == "assistant")
-        wide = sum(len(C.START + C.END) + 2 + len(r) + len(t) + t.count("\\") + t.count("<|") for _, _, r, t in turns)
-        out.append((conv, len(turns), digest("".join(f"{r}\n{t}\n" for _, _, r, t in turns)), len(loss), digest(loss), wide))
+        loss = "".join(t for r, t in turns if r == "assistant")
+        wide = sum(len(C.START + C.END) + 2 + len(r) + len(t) + r.count("\n") + sum(x.count("\\") + x.count("<|") for x in (r, t)) for r, t in turns)
+        out.append((conv, len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), digest(loss), wide, 0, 0))
     return Counter(out)
 
 
@@ -37,6 +37,18 @@ def test_digests(spark, sf_dir):
     assert run(spark, rows) == expected(rows)
 
 
+def test_ties_go_by_role_and_text(spark):
+    texts = ["a b", "a", "", "a<|", "a<", "a\\", "a\\|", "a\n", "a|", None, "a<|im_end|>", "ab", "a]", "a[", "\\n", "é", "🙂"]
+    rows = [(1, 0, "user", t) for t in texts] + [(2, None, r, t) for r in ("b", None, "", "a\nx", "a", "a\\") for t in ("y", "x")]
+    assert run(spark, rows) == expected(rows)
+
+
+def test_stored_conversation_minus_one_has_a_row_of_its_own(spark):
+    rows = [(-1, 0, "user", "stored"), (-1, 7, "assistant", C.CONTROL_TEXT)]
+    got = run(spark, rows)
+    assert got == expected(rows) and sorted(r[:2] for r in got) == [(-1, 2), (-1, 2)] and len(got) == 2
+
+
 def test_empty_table(spark):
     assert run(spark, []) == expected([])
 
@@ -48,6 +60,43 @@ def test_escapes_are_reversible_and_hide_control_strings(role, text):
     assert C.parse(segment) == (role, text)
 
 
+PARTS = st.lists(
+    st.one_of(
+        st.builds(lambda t: {"type": "text", "text": t}, st.text(alphabet="\\<|>imagedocu:0n ")),
+        st.sampled_from([{"type": "image", "ref": "a"}, {"type": "audio", "ref": "b"}, {"type": "document", "ref": None}]),
+    )
+)
+
+
+@given(st.text(alphabet="\\<|>an\n"), PARTS)
+def test_typed_parts_are_reversible(role, parts):
+    visitor = C.Flattener()
+    for part in parts:
+        visitor.visit(part)
+    segment = f"{C.START}{C.escape_role(role)}\n{''.join(visitor.pieces)}{C.END}\n"
+    want = []
+    for part in parts:
+        if part["type"] != "text":
+            want.append((part["type"], part["ref"]))
+        elif want and isinstance(want[-1], str):
+            want[-1] += part["text"]
+        elif part["text"]:
+            want.append(part["text"])
+    got_role, got = C.parse_parts(segment, visitor.attachments)
+    assert got_role == role
+    assert [p["text"] if p["type"] == "text" else (p["type"], p["ref"]) for p in got] == want
+
+
+def test_attachments_reach_the_digest(spark):
+    image = ("image", None, "a.png", 56, 28, None, None)
+    text = lambda t: ("text", t, None, None, None, None, None)
+    rows = [(1, 0, "user", [text("see"), image, image]), (1, 1, "assistant", [text("x<|"), image, text("y")]), (2, 0, "user", [text("z")])]
+    turns = spark.createDataFrame(rows, f"conv_id int, turn int, role string, parts array<{C.PART}>")
+    got = {r.conv_id: r for r in C.read_back(C.format_turns(turns)).collect()}
+    assert (got[1].n_attachments, got[1].expanded_tokens, got[1].loss_chars) == (3, 6, 4)
+    assert got[1].loss_sha256 == hashlib.sha256(b"x<|y").hexdigest() and got[2].n_attachments == 0
+
+
 def test_typed_parts(spark):
     image = ("image", None, "a.png", 100, 29, None, None)
     audio = ("audio", None, "b.wav", None, None, 1.5, None)
