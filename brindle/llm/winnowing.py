@@ -8,9 +8,12 @@ is extended word by word in both directions and counts if the matching run has 1
 An item of fewer than 10 words is one window: for each such length n that occurs, grams are n words
 and the winnowing window is one gram, which keeps every gram.
 
-Fingerprints and hits never leave their row's task before the join; the join side of the benchmark is
-grouped by distinct context, so a passage that many items share gives one row, and it is broadcast
-only if a count shows it to be small (``broadcast_rows``); beyond that the join is shuffled.
+The join side of the benchmark has one row for each distinct context, whatever number of items share it; which items those
+are is a table of its own that is joined after the hits are verified. If the contexts' measured bytes are few
+(``broadcast_bytes``), they are broadcast, and fingerprints never leave their row's task before the join. Beyond that
+the join is shuffled: first hashes and positions alone meet the benchmark's distinct hashes (the documents being written
+before, so that their rows keep their numbers), then only fingerprints that met some get their words. Each document has
+a marker row of its own key in the join, so documents without a hit stay without a key that all have.
 
 Defined results: a null text (or item text) has no words; a null or repeated ``item_id`` counts once
 in ``n_items`` as far as it is not null; repeated documents give repeated rows; an empty document
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import ascii_lower, numbered, without
+from brindle.llm.common import ascii_lower, materialise, numbered, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,7 +34,7 @@ SPAN = 10
 GRAM = 5
 WINNOW = SPAN - GRAM + 1
 LEAD = SPAN - GRAM
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32_000_000
 
 
 def words(text: str = "text") -> Column:
@@ -79,18 +82,17 @@ def _with_fingerprints(rows: DataFrame, lengths: list[int], only_own_kind: bool)
     return rows.withColumn("fps", F.expr(f"concat({', '.join(parts)})")).drop("h", "g", "kept")
 
 
-def benchmark_contexts(items: DataFrame) -> tuple[DataFrame, list[int]]:
-    """One row per distinct fingerprint context of the items, with the ids of the items that have it."""
+def benchmark_contexts(items: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """One row per distinct fingerprint context of the items, the items of each context, and the lengths of short items."""
     rows = items.select("item_id", words().alias("w"))
     short = rows.select(F.size("w").alias("n")).where(f"n BETWEEN 1 AND {SPAN - 1}").distinct()
     lengths = sorted(r.n for r in short.collect())  # nine values at most
     fps = _with_fingerprints(rows, lengths, True).select("item_id", F.explode_outer("fps").alias("f")).where("f IS NOT NULL")
-    return (
-        fps.select("item_id", F.col("f.kind"), F.col("f.hash"), F.col("f.lead").alias("ilead"), F.col("f.ctx").alias("ictx"))
-        .groupBy("kind", "hash", "ilead", "ictx")
-        .agg(F.collect_set("item_id").alias("item_ids")),
-        lengths,
-    )
+    named = [F.xxhash64(F.lit(k), "f.kind", "f.lead", "f.ctx").alias(f"c{k}") for k in range(2)]  # 128 bits name a context
+    fps = materialise(fps.select("item_id", "f.kind", "f.hash", F.col("f.lead").alias("ilead"), F.col("f.ctx").alias("ictx"), *named), "benchmark")
+    contexts = fps.drop("item_id").dropDuplicates(["kind", "hash", "c0", "c1"])
+    items_of = fps.where("item_id IS NOT NULL").select("c0", "c1", F.col("item_id").cast("string").alias("item")).distinct()
+    return materialise(contexts, "benchmark-contexts"), materialise(items_of, "benchmark-items"), lengths
 
 
 def _run(direction: int) -> Column:
@@ -105,24 +107,46 @@ def _run(direction: int) -> Column:
     return run
 
 
+def _broadcast_if_small(table: DataFrame, size: Column, most: int) -> tuple[DataFrame, bool]:
+    """The table, marked for broadcasting if its rows, of ``size`` bytes each and some overhead, are small."""
+    small = (table.agg(F.sum(size + 64)).first()[0] or 0) <= most
+    return (F.broadcast(table) if small else table), small
+
+
+#: The words around fingerprints of which only kind, hash and position are known.
+_AROUND = f"""transform(met, x -> named_struct('kind', x.kind, 'hash', x.hash, 'pos', x.pos,
+    'lead', IF(x.kind = {SPAN}, least(x.pos, {LEAD}), 0),
+    'ctx', IF(x.kind = {SPAN}, slice(w, greatest(x.pos - {LEAD}, 0) + 1, least(x.pos, {LEAD}) + {SPAN}), slice(w, x.pos + 1, x.kind))))"""
+
+
+def _met_fingerprints(rows: DataFrame, contexts: DataFrame, lengths: list[int]) -> DataFrame:
+    """``rows`` (written before) with ``fps``: those whose hash the benchmark has, found by a shuffled join."""
+    slim = F.transform("fps", lambda f: F.struct(f["kind"].alias("kind"), f["hash"].alias("hash"), f["pos"].alias("pos")))
+    each = _with_fingerprints(rows, lengths, False).select("rid", F.explode_outer(slim).alias("f")).where("f IS NOT NULL").select("rid", "f.*")
+    met = each.join(contexts.select("kind", "hash").distinct(), ["kind", "hash"], "left_semi")
+    met = met.groupBy("rid").agg(F.collect_list(F.struct("kind", "hash", "pos")).alias("met"))
+    return rows.join(met, "rid", "left").withColumn("fps", F.expr(f"coalesce({_AROUND}, CAST(array() AS {_NONE}))")).drop("met")
+
+
 def contaminated_spans(
-    docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id"
+    docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id"
 ) -> DataFrame:
     """Per row of ``docs``: ``id_col`` (as doc_id), rid, n_words, spans (array of first/last hit word) and item_ids (string, sorted).
 
-    ``rid`` tells repeated rows apart; it is set and used within one pass over ``docs``.
+    ``rid`` tells repeated rows apart.
     """
-    contexts, lengths = benchmark_contexts(items)
-    if contexts.count() <= broadcast_rows:
-        contexts = F.broadcast(contexts)
-    own = f"named_struct('kind', -1, 'hash', 0L, 'pos', -1, 'lead', 0, 'ctx', CAST(array() AS array<string>))"
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), words().alias("w"))
+    contexts, items_of, lengths = benchmark_contexts(items)
+    contexts, small = _broadcast_if_small(contexts, F.octet_length(F.array_join("ictx", " ")), broadcast_bytes)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
+    if small:
+        made = _with_fingerprints(texts.select("doc_id", "rid", words().alias("w")), lengths, False)
+    else:
+        made = _met_fingerprints(materialise(texts, "texts").select("doc_id", "rid", words().alias("w")), contexts, lengths)
+    own = "named_struct('kind', -1, 'hash', rid, 'pos', -1, 'lead', 0, 'ctx', CAST(array() AS array<string>))"
     # explode_outer: explode would infer a filter on its array, which is pushed down and inlines all that makes it;
     # the word array ends before the explode, which would copy it for every fingerprint
-    grams = (
-        _with_fingerprints(rows, lengths, False)
-        .select("doc_id", "rid", F.size("w").cast("long").alias("n_words"), F.expr(f"concat(array({own}), fps)").alias("fps"))
-        .select("doc_id", "rid", "n_words", F.explode_outer("fps").alias("f"))
+    grams = made.select("doc_id", "rid", F.size("w").cast("long").alias("n_words"), F.expr(f"concat(array({own}), fps)").alias("fps")).select(
+        "doc_id", "rid", "n_words", F.explode_outer("fps").alias("f")
     )
     met = grams.select("doc_id", "rid", "n_words", "f.*").join(contexts, ["kind", "hash"], "left")
     met = met.where("kind = -1 OR ictx IS NOT NULL").withColumns({"left": _run(-1), "right": _run(+1)})
@@ -136,13 +160,12 @@ def contaminated_spans(
         F.when(long, F.col("pos") - F.col("left")).otherwise(F.col("pos")).alias("first"),
         F.when(long, F.col("pos") + GRAM - 1 + F.col("right")).otherwise(F.col("pos") + F.col("kind") - 1).alias("last"),
     )
-    return (
-        met.select("doc_id", "rid", "n_words", F.when(hit, span).alias("span"), F.when(hit, F.col("item_ids")).alias("ids"))
-        .groupBy("rid", "doc_id", "n_words")
-        .agg(F.collect_set("span").alias("spans"), F.collect_set("ids").alias("ids"))
-        .withColumn("item_ids", F.expr("array_sort(transform(array_distinct(flatten(ids)), x -> cast(x AS STRING)))"))
-        .drop("ids")
-    )
+    found = met.select("doc_id", "rid", "n_words", F.when(hit, span).alias("span"), F.when(hit, F.struct("c0", "c1")).alias("c"))
+    found = found.groupBy("rid", "doc_id", "n_words").agg(F.collect_set("span").alias("spans"), F.collect_set("c").alias("contexts"))
+    found = materialise(found, "hits")
+    items_of, _ = _broadcast_if_small(items_of, F.octet_length("item"), broadcast_bytes)
+    named = found.select("rid", F.inline("contexts")).join(items_of, ["c0", "c1"]).groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    return found.drop("contexts").join(named, "rid", "left").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
 
 
 #: Words that the spans cover: their starts are sorted, and each adds what reaches beyond those before.
@@ -151,9 +174,9 @@ _COVERED = """aggregate(array_sort(spans), named_struct('n', 0L, 'end', -1),
     s -> s.n)"""
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row."""
-    return contaminated_spans(docs, items, broadcast_rows).select(
+    return contaminated_spans(docs, items, broadcast_bytes).select(
         "doc_id",
         "n_words",
         F.expr(_COVERED).cast("long").alias("n_hit"),
@@ -163,10 +186,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROAD
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` without the rows that share a window with an item."""
     rows = numbered(docs)
-    found = contaminated_spans(rows.select("rid", "row.text"), items, broadcast_rows, "rid")
+    found = contaminated_spans(rows.select("rid", "row.text"), items, broadcast_bytes, "rid")
     return without(rows, found.where(F.size("spans") > 0).select(F.col("doc_id").alias("rid")))
 
 

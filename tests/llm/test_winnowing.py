@@ -62,7 +62,22 @@ def test_brute_force_on_planted_spans(spark):
 
 def test_shuffled_join_gives_the_same(spark):
     docs, items = planted(3)
-    assert run(spark, docs, items, broadcast_rows=0) == brute(docs, items)
+    assert run(spark, docs, items, broadcast_bytes=0) == brute(docs, items)
+
+
+def test_a_passage_that_all_share_is_dealt_out(spark):
+    """Every document and very many items have one passage; the shuffled join has a marker key for each document."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = [(i, f"a{i} {passage} b{i}") for i in range(400)] + [(1000 + i, f"clean {i}") for i in range(400)]
+    items = [(i % 50, f"{passage} {i}") for i in range(200)]
+    assert run(spark, docs, items, broadcast_bytes=0) == brute(docs, items)
+    d = spark.createDataFrame([(*r, "en", "x", 1, "y") for r in docs], DOCS)
+    i = spark.createDataFrame([(*r, 7) for r in items], ITEMS)
+    contexts, items_of, _ = W.benchmark_contexts(i)
+    assert contexts.count() <= 60 + 200 * 15 and items_of.groupBy("c0", "c1").count().agg({"count": "max"}).first()[0] == 50
+    keys = W._met_fingerprints(d.selectExpr("doc_id", "doc_id as rid", "split(lower(text), ' ') as w"), contexts, [])
+    marked = keys.selectExpr("hash(-1, rid) as key").distinct().count()
+    assert marked == 800  # as many keys as documents
 
 
 def test_every_span_of_ten_words_is_found(spark):
