@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import uuid
 import zlib
@@ -40,12 +41,32 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer, pre_tokenizers
 
-from brindle.llm.common import in_batches, materialise, release_memory, shared_dir
+from brindle.llm.common import gathered, in_batches, materialise, release_memory, shared_dir
 
 #: Words of printable ASCII, Latin-1 letters and common marks: composed already, lower-cased one to one.
 _PLAIN = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026]+$"
 #: How the vocabulary's pattern cuts such words after lower-casing.
 _PIECES = "('s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^0-9a-z\u00df-\u00f6\u00f8-\u00ff]+)"
+#: The normaliser, pre-tokenizer and word mark, as files state them, for which a word's ids are the same in any text.
+BY_WORD = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "end_of_word_suffix": "</w>",
+}
 #: A control character: one byte, one pre-token between spaces, and no part of any other character.
 MARK = "\x7f"
 WINDOW = 16
@@ -53,6 +74,7 @@ MIN_CHUNK = 64
 MAX_CHUNK = 1024
 MASK_BITS = 8
 CACHE = 400_000
+SLICE = 16_000_000
 ROWS_PER_PART = 200_000
 
 
@@ -72,6 +94,7 @@ def _lengths(lists: pa.ListArray) -> np.ndarray:
 class WordEncoder:
     """Ids of texts, by the white-space separated word; the vocabulary drops white space between words.
 
+    That holds for files whose normaliser and pattern are ``BY_WORD``; with any other, whole texts go through the library.
     The distinct words of a batch are cut into pre-tokens by Arrow's functions, and each distinct pre-token is
     encoded once, by the library's merges without its slow normaliser and pattern; its last id is one that ends
     a word. All words that ``_PLAIN`` doesn't fit go through the whole of the library.
@@ -81,9 +104,16 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are busy with other tasks
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.pieces: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
         size = self.model.get_vocab_size()
         if size > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        stated = json.loads(self.model.to_str())
+        stated["end_of_word_suffix"] = stated["model"].get("end_of_word_suffix")
+        self.by_word = all(stated.get(k) == v for k, v in BY_WORD.items())
+        if not self.by_word:
+            return
         (self.mark,) = self._ids(MARK).tolist()
         self.merges = Tokenizer(self.model.model)
         self.merges.pre_tokenizer = pre_tokenizers.Sequence(
@@ -92,8 +122,6 @@ class WordEncoder:
         self.ends_word = np.zeros(size, bool)
         for token, i in self.model.get_vocab(with_added_tokens=False).items():
             self.ends_word[i] = token.endswith("</w>")
-        self.pieces: dict[str, bytes] = {}
-        self.odd: dict[str, bytes] = {}
 
     def clear(self) -> None:
         self.pieces.clear()
@@ -149,6 +177,8 @@ class WordEncoder:
     def encode_batch(self, texts: pa.StringArray, end_id: int) -> list[bytes]:
         """Little-endian 16-bit ids of each text, closed by ``end_id``."""
         end = end_id.to_bytes(2, "little")
+        if not self.by_word:
+            return [self._ids(t or "").tobytes() + end for t in texts.to_pylist()]
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         words = split.flatten().dictionary_encode()
         ids = self._words(words.dictionary).take(words.indices)
@@ -192,41 +222,47 @@ def cut_points(ids: np.ndarray) -> np.ndarray:
     return np.array(cuts)
 
 
-_CODED = "row long, n_ids long, addresses array<binary>, pieces array<binary>"
+_CODED = "row long, n_ids long, addresses array<binary>, new array<int>, pieces array<binary>"
+#: A task knows so many addresses (some 25 MB) before it forgets them all.
+MET = 200_000
 
 
 def _code(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Per document its chunks; within a batch, a chunk's bytes are given only where it is first met."""
+    """Per document its chunks; a task gives a chunk's bytes where it first meets it, ``new`` being its place among the addresses."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path)
-        for whole in it:
+        words, met = encoder(path), set()
+        for whole in gathered(it, SLICE):
             for batch in _slices(whole):
-                met: set[bytes] = set()
-                n_ids, addresses, pieces = [], [], []
+                n_ids, addresses, new, pieces = [], [], [], []
                 for raw in words.encode_batch(batch.column(2), end_id):
                     ids = np.frombuffer(raw, "<u2")
-                    names, parts, start = [], [], 0
+                    names, places, parts, start = [], [], [], 0
                     for end in cut_points(ids).tolist():
                         piece = raw[2 * start : 2 * end]
                         name = hashlib.sha256(piece).digest()
-                        names.append(name)
                         if name not in met:
                             met.add(name)
+                            places.append(len(names))
                             parts.append(piece)
+                        names.append(name)
                         start = end
                     n_ids.append(ids.size)
                     addresses.append(names)
+                    new.append(places)
                     pieces.append(parts)
+                    if len(met) > MET:
+                        met.clear()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
                         batch.column(1),
                         pa.array(n_ids, pa.int64()),
                         pa.array(addresses, pa.list_(pa.binary())),
+                        pa.array(new, pa.list_(pa.int32())),
                         pa.array(pieces, pa.list_(pa.binary())),
                     ],
-                    names=["doc_id", "row", "n_ids", "addresses", "pieces"],
+                    names=schema.names,
                 )
         words.clear()
         release_memory()
@@ -238,7 +274,7 @@ def _code(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return in_batches(picked, batches, schema)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each, at least one row."""
     start, total = 0, 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()):
@@ -297,9 +333,9 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, ro
     """Writes the store of ``docs`` (doc_id, text) under ``path``."""
     spark = docs.sparkSession
     coded = materialise(_code(docs, tokenizer_path, end_id), "coded")
-    pieces = coded.select(F.explode("pieces").alias("bytes"))
+    named = F.transform("new", lambda i: F.get("addresses", i))
     (
-        pieces.select(F.unhex(F.sha2("bytes", 256)).alias("address"), "bytes")
+        coded.select(F.inline(F.arrays_zip(named.alias("address"), F.col("pieces").alias("bytes"))))
         .groupBy("address")
         .agg(F.first("bytes").alias("bytes"))
         .select("address", (F.octet_length("bytes") / 2).cast("int").alias("n_ids"), "bytes")

@@ -6,9 +6,10 @@ are folded by hash into ``BINS`` bins, which are the remaining items. The larges
 combines, again and again, the two partial partitions of largest spread, the heaviest shard of one
 with the lightest of the other. That needs at most 2 * BINS sums on the driver at any size of input.
 
-Slots run from 0 without gaps in each shard: rows are counted per shard and block of ``BLOCK`` input
-rows, blocks are offset by a running sum, and rows are numbered within their block, so no shard, text
-or id is ever gathered in one task, however common it is.
+Slots run from 0 without gaps in each shard: rows are counted per shard and block of ``BLOCK`` input rows, and blocks per
+super-block of ``BLOCK`` blocks. Rows are numbered within their block, blocks offset within their super-block, and
+super-blocks within the shard; the last is the only window over a whole shard, and it has a row for a million input rows.
+So no shard, text or id is ever gathered in one task, however common it is.
 
 Defined results: a null text has size 16, checksum 0 and forms a group with the other null texts,
 apart from empty ones. Repeated rows and null ids are rows like others. An empty table gives an empty
@@ -107,10 +108,14 @@ def shards(docs: DataFrame, n_shards: int, bins: int = BINS) -> DataFrame:
 
 def with_slots(placed: DataFrame) -> DataFrame:
     """Adds the slot: the rank of ``at`` within the shard, from 0."""
-    placed = placed.withColumn("block", F.shiftright("at", BLOCK.bit_length() - 1))
-    counts = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    bits = BLOCK.bit_length() - 1
+    placed = placed.withColumn("block", F.shiftright("at", bits))
+    counts = placed.groupBy("shard", "block").agg(F.count("*").alias("n")).withColumn("super", F.shiftright("block", bits))
+    before = lambda *by: Window.partitionBy("shard", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.withColumn("inner", F.coalesce(F.sum("n").over(before("super", "block")), F.lit(0)))
+    supers = counts.groupBy("shard", "super").agg(F.sum("n").alias("n"))
+    supers = supers.select("shard", "super", F.coalesce(F.sum("n").over(before("super")), F.lit(0)).alias("outer"))
+    offsets = blocks.join(supers, ["shard", "super"]).select("shard", "block", (F.col("inner") + F.col("outer")).alias("offset"))
     within = F.row_number().over(Window.partitionBy("shard", "block").orderBy("at"))
     return (
         placed.withColumn("rank", within)

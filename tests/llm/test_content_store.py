@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter
@@ -107,3 +108,16 @@ def test_odd_words_are_encoded_as_the_library_does(library):
         got = words.encode_batch(pa.array(texts, pa.string()), 2)
         assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library(t) for t in texts]
     assert words.encode_batch(pa.array([], pa.string()), 2) == []
+
+
+def test_other_normalisers_go_through_the_library(tmp_path):
+    stated = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    stated["normalizer"] = None
+    path = f"{tmp_path}/cased.json"
+    json.dump(stated, open(path, "w"))
+    texts = ["Ab CD ef", None, "", "It's  x\ny"]
+    library = Tokenizer.from_file(path)
+    encoder = C.WordEncoder(path)
+    got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_batch(pa.array(texts), 2)]
+    assert not encoder.by_word and C.WordEncoder(public_tokenizers.path("word_bpe_49k.json")).by_word
+    assert got == [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
