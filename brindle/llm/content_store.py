@@ -74,7 +74,8 @@ MIN_CHUNK = 64
 MAX_CHUNK = 1024
 MASK_BITS = 8
 CACHE = 400_000
-SLICE = 16_000_000
+#: Text is worked on in parts of this size: the larger, the fewer words are distinct.
+SLICE = 24_000_000
 ROWS_PER_PART = 200_000
 
 
@@ -97,7 +98,7 @@ class WordEncoder:
     That holds for files whose normaliser and pattern are ``BY_WORD``; with any other, whole texts go through the library.
     The distinct words of a batch are cut into pre-tokens by Arrow's functions, and each distinct pre-token is
     encoded once, by the library's merges without its slow normaliser and pattern; its last id is one that ends
-    a word. All words that ``_PLAIN`` doesn't fit go through the whole of the library.
+    a word. The worker's next tasks know them still, up to ``CACHE`` of them. All words that ``_PLAIN`` doesn't fit go through the whole of the library.
     """
 
     def __init__(self, path: str):
@@ -123,10 +124,6 @@ class WordEncoder:
         for token, i in self.model.get_vocab(with_added_tokens=False).items():
             self.ends_word[i] = token.endswith("</w>")
 
-    def clear(self) -> None:
-        self.pieces.clear()
-        self.odd.clear()
-
     def _known(self, cache: dict[str, bytes], wanted: list[str], learn: Callable[[list[str]], None]) -> pa.LargeBinaryArray:
         new = [w for w in wanted if w not in cache]
         if len(cache) + len(new) > CACHE:
@@ -264,7 +261,6 @@ def _code(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     ],
                     names=schema.names,
                 )
-        words.clear()
         release_memory()
 
     picked = docs.select(
@@ -274,7 +270,7 @@ def _code(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return in_batches(picked, batches, schema)
 
 
-def _slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = SLICE * 3 // 2) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each, at least one row."""
     start, total = 0, 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()):
