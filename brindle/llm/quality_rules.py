@@ -48,7 +48,7 @@ FIRST_STEPS = 2
 MAX_STEPS = 40
 SETTLED = 1e-6
 MIN_GROUP = 200
-BINS = 2048
+BINS = 512
 LOWEST = 1e-3
 BROADCAST_GROUPS = 20_000
 #: Points of chi-square with five degrees of freedom: 99.9 %, the median and the upper quartile.
@@ -81,10 +81,11 @@ def _repeated() -> str:
     """Positions of the windows that occur again. Windows of equal hash are neighbours; only where such neighbours have
     different words, all windows of that hash are compared."""
     before, after = "get(s, j - 1)", "get(s, j + 1)"
+    beside = " OR ".join(map(_same_hash, (before, after)))
     near = " OR ".join(f"({_same_hash(y)} AND {_same_words(y)})" for y in (before, after))
-    collided = f"coalesce({_same_hash(before)}, false) OR coalesce({_same_hash(after)}, false)"
     anywhere = f"exists(s, y -> y <> x AND {_same_hash('y')} AND {_same_words('y')})"
-    return f"sort_array(array_compact(transform(s, (x, j) -> IF(coalesce({near}, false) OR (({collided}) AND {anywhere}), x & mask, CAST(NULL AS BIGINT)))))"
+    again = f"IF({beside}, IF(({near}) OR {anywhere}, x & mask, CAST(NULL AS BIGINT)), CAST(NULL AS BIGINT))"
+    return f"sort_array(array_compact(transform(s, (x, j) -> {again})))"
 
 
 _COVERED = f"""aggregate(at, named_struct('n', 0L, 'end', 0L),
