@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brindle.functions import null_if_nan, quote
 from brindle.operators.cells import DEFAULT_BASE, TEAMS, Cell
 
+#: Names of the flags, and the columns that coverage is asked about.
 FLAGS = ("has_set2_stats", "has_set3_stats", "has_set2_and_3_stats")
 DRIVERS = (
     "EventYear",
@@ -50,12 +52,12 @@ def flag_totals(df: DataFrame) -> DataFrame:
 
 
 def coverage_by(df: DataFrame, column: str, flag: str = FLAGS[2], top_n: int = 25, min_count: int = 50) -> DataFrame | None:
-    """Per value of a column (missing is a value): total, flag_count and flag_rate of groups of at least
+    """Per value of a column (missing, NULL or NaN, is one value): total, flag_count and flag_rate of groups of at least
     ``min_count`` rows, the best covered ``top_n`` first; ties by the value, missing last. None if there is
     no such column."""
     if column not in df.columns:
         return None
-    key, on = F.col(quote(column)), F.col(quote(flag))
+    key, on = null_if_nan(F.col(quote(column)), df.schema[column].dataType).alias(column), F.col(quote(flag))
     return (
         df.groupBy(key)
         .agg(F.count(on).alias("total"), F.count_if(on).alias("flag_count"), F.avg(on.cast("double")).alias("flag_rate"))
@@ -77,14 +79,12 @@ def coverage_sweep(df: DataFrame, columns: Sequence[str] = DRIVERS, flag: str =
     Each row is counted once under each column by an unfolded array, and a third of all rows with the same
     value are summed in their tasks before the shuffle.
     """
-    from pyspark.sql.window import Window
-
     there = [c for c in columns if c in df.columns]
     if not there:
         empty = "driver string, value string, total long, flag_count long, flag_rate double, rank int"
         return df.sparkSession.createDataFrame([], empty)
     on = F.col(quote(flag))
-    pairs = F.array(*(F.struct(F.lit(c).alias("driver"), F.col(quote(c)).cast("string").alias("value")) for c in there))
+    pairs = F.array(*(F.struct(F.lit(c).alias("driver"), null_if_nan(F.col(quote(c)), df.schema[c].dataType).cast("string").alias("value")) for c in there))
     grouped = (
         df.select(on.alias("on"), F.inline(pairs))
         .groupBy("driver", "value")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from brindle.functions import quote, safe_div, to_numeric
+from brindle.functions import null_if_nan, quote, safe_div, to_numeric
 from brindle.operators.cells import DEFAULT_BASE, Catalogue, Cell
 from brindle.operators.clean import MATCH_KEYS
 
@@ -118,7 +118,7 @@ def set_stats(df: DataFrame, min_rate_n: int = 1, min_total_n: int = 1, catalogu
 def match_points(df: DataFrame, base: str = DEFAULT_BASE, keys: Sequence[str] = MATCH_KEYS, team: str = "PlayerTeam1", catalogue: Catalogue | None = None) -> DataFrame:
     """Points per match and set: the sum of one team's denominators; missing if all are missing.
 
-    Missing keys are keys like others. Without any denominator column there is nothing to sum, and a
+    Missing keys (NULL or NaN) are one key like others. Without any denominator column there is nothing to sum, and a
     ValueError says so.
     """
     catalogue = catalogue or Catalogue.of(df)
@@ -127,7 +127,7 @@ def match_points(df: DataFrame, base: str = DEFAULT_BASE, keys: Sequence[str] =
         raise ValueError(f"no column holds a denominator of {base!r}")
     keys = [k for k in keys if k in df.columns]
     array = F.array(*(F.struct(F.lit(c.set_index + 1).alias("set_number"), _number(df, c.divisor).alias("total")) for c in cells))
-    long = df.select(*(F.col(quote(k)) for k in keys), F.inline(array))
+    long = df.select(*(null_if_nan(F.col(quote(k)), df.schema[k].dataType).alias(k) for k in keys), F.inline(array))
     return long.groupBy(*(F.col(quote(k)) for k in keys), "set_number").agg(F.sum("total").alias("points_played"))
 
 

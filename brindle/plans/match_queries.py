@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions import safe_div, to_date, to_numeric
 from brindle.operators import clean, coverage, setstats
-from brindle.operators.cells import Catalogue
-from brindle.plans.matches import BASE_B, LINE_KEYS, LINE_ORDER, ORACLE_LINES, matches, table
-from brindle.sources import union_by_name
+from brindle.plans.matches import BASE_A, BASE_B, LINE_KEYS, LINE_ORDER, ORACLE_LINES, matches, table
+from brindle.sources import read_cache, read_csvs, scratch_path, union_by_name, write_cache
 
 PLACES = 6
 
@@ -107,7 +106,7 @@ def coverage_sweep(spark, sf_dir):
 
 
 def wide_to_long(spark, sf_dir):
-    long = setstats.wide_to_long(matches(spark, sf_dir), keys=("EventId",), drop_empty=True)
+    long = setstats.wide_to_long(matches(spark, sf_dir), keys=("EventId",))
     return _rounded(long, "rate", "total")
 
 
@@ -133,8 +132,7 @@ def stat_totals_window(spark, sf_dir):
 
 
 def points_per_match_set(spark, sf_dir):
-    points = setstats.match_points(matches(spark, sf_dir), BASE_B, catalogue=Catalogue.of(matches(spark, sf_dir)))
-    return _rounded(points, "points_played")
+    return _rounded(setstats.match_points(matches(spark, sf_dir), BASE_B), "points_played")
 
 
 def points_per_set(spark, sf_dir):
@@ -151,6 +149,40 @@ def union_by_name_columns(spark, sf_dir):
     return union_by_name([orders, customers]).select("custkey", "amount", "name")
 
 
+def csv_union(spark, sf_dir):
+    """Orders as CSV files of two column orders, one with a column more, read back as one table by name."""
+    folder = scratch_path(spark, "csv")
+    note = F.concat(F.lit('say "'), F.col("o_orderpriority"), F.lit('", or\n'), F.col("o_orderstatus"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", note.alias("A.Note"), F.col("o_totalprice").cast("string").alias("price"), "o_orderdate")
+    even = F.col("o_orderkey") % 2 == 0
+    options = {"header": True, "quote": '"', "escape": '"'}
+    orders.where(even).select("o_orderkey", "`A.Note`", "price").write.options(**options).csv(f"{folder}/a")
+    orders.where(~even).select("price", "`A.Note`", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderkey").write.options(**options).csv(f"{folder}/b")
+    read = read_csvs(spark, f"{folder}/*/*.csv", {"price": "double", "day": "date"})
+    return read.select("o_orderkey", F.col("`A.Note`").alias("note"), F.round("price", 2).alias("price"), "day")
+
+
+def preprocess(spark, sf_dir):
+    """Lines as raw rows with an index column, repeated keys, dates of two formats and a percent column."""
+    day = F.col("l_shipdate")
+    raw = table(spark, sf_dir, "lineitem").select(
+        F.col("l_linenumber").alias("Unnamed: 0"),
+        F.col("l_orderkey").alias("EventId"),
+        F.col("l_suppkey").alias("at"),
+        F.when(F.col("l_orderkey") % 3 == 0, F.lit("soon")).otherwise(F.date_format(day, "yyyy-M-d")).alias("StartDate"),
+        F.when(F.col("l_orderkey") % 3 == 1, F.date_format(day, "yyyy-MM-dd'T'10:20:30")).otherwise(F.date_format(day, "yyyy-MM-dd 00:00:00")).alias("EndDate"),
+        F.col("l_tax").alias("X.Percent"),
+    )
+    made = clean.preprocess(raw, order=("at", "StartDate", "EndDate"))
+    return made.select("EventId", "at", F.col("StartDate").alias("start"), F.col("EndDate").alias("end"))
+
+
+def cache_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "cache")
+    write_cache(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key.1"), "c_name", "c_acctbal"), path)
+    return read_cache(spark, path).toDF("key_1", "name", "balance")
+
+
 def _coverage_sql(column: str, alias: str, top_n: int = 25, min_count: int = 50) -> str:
     return f"""{ORACLE_LINES} SELECT {column} AS "{alias}", count(*) AS total, CAST(sum(CAST(both_sets AS INT)) AS BIGINT) AS flag_count,
         round(avg(CAST(both_sets AS INT)), {PLACES}) AS flag_rate FROM g GROUP BY 1 HAVING count(*) >= {min_count}
@@ -179,7 +211,7 @@ ORACLES = {
     ),
     "drop_columns_by_suffix": "SELECT o_orderkey AS unnamed_1, o_orderstatus AS percent_x, o_orderpriority AS percent_y FROM orders",
     "lenient_numeric_cast": """SELECT event_id AS id, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS number FROM events
-        UNION ALL SELECT conv_id, TRY_CAST(substr(text, 1, 12) AS DOUBLE) FROM conversations""",
+        UNION ALL SELECT conv_id, TRY_CAST(text AS DOUBLE) FROM conversations""",
     "lenient_date_cast": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders",
     "safe_ratio": f"""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount > 0 THEN round(l_tax / l_discount, {PLACES}) END AS rate
         FROM lineitem""",
@@ -199,8 +231,11 @@ ORACLES = {
         k AS (SELECT *, row_number() OVER (PARTITION BY driver ORDER BY r DESC, flag_count DESC, value ASC NULLS LAST) AS n FROM t)
         SELECT driver, value, total, flag_count, round(r, {PLACES}) AS flag_rate, CAST(n AS INTEGER) AS rank FROM k WHERE n <= 30""",
     "wide_to_long": f"""{ORACLE_LINES} SELECT eid AS "EventId", base AS stat_base, sn AS set_number, team,
-        CASE WHEN y > 0 THEN round(x / y, {PLACES}) END AS rate, round(y, {PLACES}) AS total, true AS has_total,
-        coalesce(y > 0 AND x IS NOT NULL, false) AS has_valid_rate FROM c WHERE y IS NOT NULL""",
+        CASE WHEN y > 0 THEN round(x / y, {PLACES}) END AS rate, round(y, {PLACES}) AS total, y IS NOT NULL AS has_total,
+        coalesce(y > 0 AND x IS NOT NULL, false) AS has_valid_rate
+        FROM (SELECT eid, CAST(n AS INTEGER) AS sn, team, base FROM m CROSS JOIN unnest(range(1, 7)) AS r(n)
+              CROSS JOIN (VALUES ('PlayerTeam1'), ('PlayerTeam2')) AS t(team) CROSS JOIN (VALUES ('{BASE_A}'), ('{BASE_B}')) AS b(base))
+        LEFT JOIN c USING (eid, sn, team, base)""",
     "set_stats": f"{_STATS} SELECT * FROM s WHERE rate_n >= 1 AND total_n >= 1",
     "set_stats_min_zero": f"{_STATS} SELECT * FROM s",
     "set_stats_top30": f"""{_STATS}, t AS (SELECT *, sum(rate_n) OVER (PARTITION BY stat_base) AS z FROM s WHERE rate_n >= 1 AND total_n >= 1)
@@ -213,6 +248,15 @@ ORACLES = {
         FROM p GROUP BY 1""",
     "points_chart": f"""{_POINTS} SELECT CAST(set_number AS VARCHAR) AS set_label, round(avg(points_played), {PLACES}) AS avg_points_played
         FROM p GROUP BY set_number""",
+    "csv_union": """SELECT o_orderkey, 'say "' || o_orderpriority || '", or' || chr(10) || o_orderstatus AS note, round(o_totalprice, 2) AS price,
+        CASE WHEN o_orderkey % 2 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders""",
+    "preprocess": """SELECT l_orderkey AS "EventId", l_suppkey AS at,
+        CASE WHEN l_orderkey % 3 <> 0 THEN CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) END AS start,
+        CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) + CASE WHEN l_orderkey % 3 = 1 THEN INTERVAL '10:20:30' ELSE INTERVAL '0' SECOND END AS "end"
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey,
+              CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE strftime(CAST(l_shipdate AS DATE), '%Y-%-m-%-d') END, CAST(l_shipdate AS DATE)) AS n FROM lineitem)
+        WHERE n = 1""",
+    "cache_round_trip": "SELECT c_custkey AS key_1, c_name AS name, c_acctbal AS balance FROM customer",
     "union_by_name_columns": """SELECT o_custkey AS custkey, o_totalprice AS amount, CAST(NULL AS VARCHAR) AS name FROM orders
         UNION ALL SELECT c_custkey, NULL, c_name FROM customer""",
 }

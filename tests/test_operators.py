@@ -150,6 +150,9 @@ def test_points_per_match_and_set(spark):
     with pytest.raises(ValueError, match="denominator"):
         setstats.match_points(df, "No.Such")
     assert setstats.set_total(df, "PlayerTeam1", 5, DEFAULT_BASE, ["EventId"]) is None
+    total = setstats.set_total(df, "PlayerTeam1", 1, DEFAULT_BASE, ["MatchId", "EventId"])
+    assert total.columns == ["set_number", "total", "MatchId", "EventId"]
+    assert sorted(map(tuple, total.collect()), key=repr) == sorted([(2, 50.0, "m1", 1), (2, None, "m1", 1), (2, None, "m2", 2), (2, None, "m3", None)], key=repr)
 
 
 def test_lenient_numbers(spark):
@@ -186,3 +189,21 @@ def test_preprocess_drops_by_exact_name_and_suffix(spark):
     out = clean.preprocess(df)
     assert out.columns == ["Unnamed: 1", "PercentX", "X.Percent.Y", "StartDate"] and df.columns == names
     assert str(out.first().StartDate) == "2024-01-05 00:00:00"
+
+
+def test_each_date_column_has_its_format(spark):
+    texts = ["2024-01-07 00:00:00", "2024-01-08T10:00:00", "2024-1-9", "2024-01-10 09:30", "2024-01-11 01:02:03.250", "2024", "x", None]
+    df = spark.createDataFrame([(x, x) for x in texts], "EndDate string, StartDate string").coalesce(1)
+    rows = clean.coerce_dates(df).collect()
+    want = ["2024-01-07 00:00:00", "2024-01-08 10:00:00", "2024-01-09 00:00:00", "2024-01-10 09:30:00", "2024-01-11 01:02:03.250000"]
+    assert [r.EndDate and str(r.EndDate) for r in rows] == [*want, None, None, None]
+    assert [r.StartDate and str(r.StartDate) for r in rows] == [None, None, "2024-01-09 00:00:00", *[None] * 5]
+    assert clean.coerce_dates(df, {"StartDate": "yyyy"}).collect()[5].StartDate.year == 2024
+
+
+def test_nan_and_null_are_one_key(spark):
+    df = spark.createDataFrame([(NAN, True, 1, 5.0), (None, False, 2, 6.0), (1.0, True, 3, 7.0)], f"k double, {BOTH} boolean, at int, `{col(1, 0)}` double")
+    assert {tuple(r) for r in coverage.coverage_by(df, "k", min_count=1).collect()} == {(None, 2, 1, 0.5), (1.0, 1, 1, 1.0)}
+    assert {(r.value, r.total) for r in coverage.coverage_sweep(df, ["k"], min_count=1).collect()} == {(None, 2), ("1.0", 1)}
+    assert sorted(r.at for r in clean.dedup_first(df, ["k"], ["at"]).collect()) == [1, 3]
+    assert {(r.k, r.points_played) for r in setstats.match_points(df, keys=["k"]).collect()} == {(None, 11.0), (1.0, 7.0)}

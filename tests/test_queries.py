@@ -1,6 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import math
+from collections import Counter
 
 import duckdb
 import pytest
@@ -45,3 +46,18 @@ def test_numeric_cast_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(texts, "conv_id long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.id: r.number for r in entry.queries()["lenient_numeric_cast"](spark, str(tmp_path)).collect()}
     assert got == {1: 69.0, 2: None, 3: 12345678901234.0, 4: None}
+
+
+def test_orders(spark, sf_dir, duck):
+    """Rows come in the stated order, not only as a set."""
+    rows = entry.queries()["set_stats"](spark, sf_dir).collect()
+    totals = Counter()
+    for r in rows:
+        totals[r.stat_base] += r.rate_n
+    assert rows == sorted(rows, key=lambda r: (-totals[r.stat_base], r.stat_base, r.set_number)) and len(totals) == 2
+    for name in ("points_per_set", "points_chart"):
+        numbers = [int(r[0]) for r in entry.queries()[name](spark, sf_dir).collect()]
+        assert numbers == [1, 2, 3, 4, 5, 6]
+    for name in ("coverage_by_priority", "coverage_by_year"):
+        want = [r[0] for r in duck.execute(ORACLES[name]).fetchall()]
+        assert [r[0] for r in entry.queries()[name](spark, sf_dir).collect()] == want

@@ -1,7 +1,7 @@
 import pytest
 
 from brindle.operators.clean import dedup_first, drop_index_column
-from brindle.sources import list_files, print_columns, read_cache, read_csvs, report, rows_frame, write_cache
+from brindle.sources import column_names, infer_kinds, list_files, print_columns, read_cache, read_csvs, report, rows_frame, write_cache
 
 
 @pytest.fixture
@@ -40,3 +40,37 @@ def test_cache_and_console(spark, folder, capsys):
     assert again.collect() == df.collect() and print_columns(again) == ["a", "b.c"]
     report({"t": again})
     assert "=== t ===" in capsys.readouterr().out
+
+
+def test_quoted_values(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('\ufeffa,b,,a\n"x ""q"", y",2,i,1\n"line1\nline2",3,j,2\n,,k,\n')
+    (tmp_path / "r.csv").write_text("b,c\n5,True\n")
+    (tmp_path / "empty.csv").write_text("")
+    df = read_csvs(spark, f"file://{tmp_path}/*.csv")
+    rows = df.orderBy("_src_file", "_src_row").collect()
+    assert [(r.a, r.b, r["Unnamed: 2"], r["a.1"], r.c) for r in rows] == [
+        ('x "q", y', 2, "i", 1, None),
+        ("line1\nline2", 3, "j", 2, None),
+        (None, None, "k", None, None),
+        (None, 5, None, None, True),
+    ]
+    assert {f.name: f.dataType.simpleString() for f in df.schema if f.name in ("a", "b", "c")} == {"a": "string", "b": "bigint", "c": "boolean"}
+    assert read_csvs(spark, f"file://{tmp_path}/r.csv", infer=False).first().b == "5"
+    with pytest.raises(ValueError, match="header"):
+        read_csvs(spark, f"file://{tmp_path}/empty.csv")
+
+
+def test_header_names_and_compressed_files(spark, tmp_path):
+    import gzip
+
+    assert column_names('a,"b\nc",,a,a,\n') == ("a", "b\nc", "Unnamed: 2", "a.1", "a.2", "Unnamed: 5")
+    with gzip.open(tmp_path / "z.csv.gz", "wt") as out:
+        out.write("n\n1.5\n")
+    assert read_csvs(spark, f"file://{tmp_path}/z.csv.gz").first().n == 1.5
+
+
+def test_kinds_are_those_of_all_values(spark):
+    rows = [("1", "1", "x", "True", None, "007"), (None, "2.5", "1", "false", None, "8"), ("-3", "1e3", "2", "TRUE", None, " 9")]
+    df = rows_frame(spark, rows, "i string, d string, s string, b string, n string, z string")
+    assert infer_kinds(df, df.columns) == {"i": "long", "d": "double", "b": "boolean", "z": "long"}
+    assert infer_kinds(df, []) == {}
