@@ -250,3 +250,19 @@ def conversations_digest(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     rows = rows.withColumn("control", F.lit(False)).unionByName(own.withColumn("control", F.lit(True)))
     return read_back(format_turns(text_turns(rows, ("control",)), ("control",)), ("conv_id", "control")).drop("control")
+
+
+_TURNS = "string_agg({what}, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)"
+_ESCAPES = "+ len({c}) - len(replace({c}, chr(92), '')) + (len({c}) - len(replace({c}, '<|', ''))) / 2"
+ORACLE_SQL = f"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, false AS control FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}', true UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}', true),
+t AS (SELECT *, coalesce(role, '') AS r, CASE WHEN role = 'assistant' THEN text END AS a FROM c)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256({_TURNS.format(what="r || chr(10) || text || chr(10)")}) AS turns_sha256,
+       CAST(coalesce(sum(len(a)), 0) AS BIGINT) AS loss_chars, sha256(coalesce({_TURNS.format(what="a")}, '')) AS loss_sha256,
+       CAST(sum({len(START) + len(END) + 2} + len(text) + len(r) + len(r) - len(replace(r, chr(10), ''))
+            {_ESCAPES.format(c="text")} {_ESCAPES.format(c="r")}) AS BIGINT) AS formatted_chars,
+       CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
+FROM t GROUP BY conv_id, control
+"""

@@ -154,8 +154,7 @@ def _with_groups(vectors: DataFrame, min_group: int) -> DataFrame:
     corpus_needed = not groups.where("level = 2").isEmpty()
     keys = [F.when(F.col("level") == 0, _key(0)), F.when(F.col("lang_needed"), _key(1)), F.when(F.lit(corpus_needed), _key(2))]
     judge = F.when(F.col("level") == 0, _key(0)).when(F.col("level") == 1, _key(1)).otherwise(_key(2))
-    few = groups.count() <= BROADCAST_GROUPS
-    met = vectors.withColumn("key0", _key(0)).join(F.broadcast(groups) if few else groups, "key0")
+    met = _join(vectors.withColumn("key0", _key(0)), groups, _few(groups), "key0")
     return met.withColumns({"judge": judge, "keys": F.array_compact(F.array(*keys))}).drop("key0", "level", "lang_needed")
 
 
@@ -170,18 +169,17 @@ def _squared_distance() -> Column:
 
 
 def _estimates(sums: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor of the covariance v_ij, its diagonal raised to the least variances, and ``log_det``."""
+    """key, start, m_i, the Cholesky factor l_ij of the covariance v_ij, its diagonal raised to the least variances, and ``log_det``."""
     floors = list(FEATURES.values())
+    made = []  # each may refer to those before it
     for j in range(len(floors)):
         inner = "".join(f" - pow(l_{j}_{k}, 2)" for k in range(j))
-        sums = sums.withColumn(f"l_{j}_{j}", F.expr(f"sqrt(greatest(v_{j}_{j}{inner}, {floors[j] ** 2}))"))
-        below = {}
+        made.append(f"sqrt(greatest(v_{j}_{j}{inner}, {floors[j] ** 2})) AS l_{j}_{j}")
         for i in range(j + 1, len(floors)):
             cross = "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
-            below[f"l_{i}_{j}"] = F.expr(f"(v_{i}_{j}{cross}) / l_{j}_{j}")
-        sums = sums.withColumns(below) if below else sums
-    log_det = F.expr(" + ".join(f"2 * ln(l_{j}_{j})" for j in range(len(floors))))
-    return sums.withColumn("log_det", log_det).select("key", "start", "log_det", *(c for c in sums.columns if c[:2] in ("m_", "l_") and c != "log_det"))
+            made.append(f"(v_{i}_{j}{cross}) / l_{j}_{j} AS l_{i}_{j}")
+    log_det = " + ".join(f"2 * ln(l_{j}_{j})" for j in range(len(floors)))
+    return sums.selectExpr("key", "start", *(f"m_{i}" for i in range(len(floors))), *made, f"{log_det} AS log_det")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -195,9 +193,14 @@ def _moments(rows: DataFrame) -> DataFrame:
     )
 
 
-def _join(rows: DataFrame, groups: DataFrame, on: str | list[str] = "key") -> DataFrame:
-    """Rows with their group's columns; groups are broadcast only when a count shows them to be few."""
-    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, on)
+def _few(groups: DataFrame) -> bool:
+    """Whether a count shows groups to be few enough for broadcasting."""
+    return groups.count() <= BROADCAST_GROUPS
+
+
+def _join(rows: DataFrame, groups: DataFrame, few: bool, on: str | list[str] = "key") -> DataFrame:
+    """Rows with their group's columns."""
+    return rows.join(F.broadcast(groups) if few else groups, on)
 
 
 def quantiles(rows: DataFrame, by: list[str], values: dict[str, str], shares: tuple[float, ...]) -> DataFrame:
@@ -212,13 +215,15 @@ def quantiles(rows: DataFrame, by: list[str], values: dict[str, str], shares: tu
     return wide.groupBy(*by).agg(*(F.max(F.when(F.col("name") == k, F.col("q"))).alias(k) for k in values))
 
 
-def _starts(rows: DataFrame, n_starts: int) -> DataFrame:
-    """Estimates to start from, by key: the robust one without correlations (start 0), and those of small subsets."""
+def _starts(rows: DataFrame, n_starts: int) -> tuple[DataFrame, bool]:
+    """Estimates to start from, by key: the robust one without correlations (start 0), and those of small subsets; and
+    whether the groups are few."""
     names = list(FEATURES)
     middle = quantiles(rows, ["key"], {f"m_{i}": f for i, f in enumerate(names)}, (0.5,))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
     middle = materialise(middle.join(sizes, "key").select("key", "n", *(F.col(f"m_{i}")[0].alias(f"m_{i}") for i in range(len(names)))), "mcd-median")
-    off = _join(rows, middle).select("key", *(F.abs(F.col(f) - F.col(f"m_{i}")).alias(f) for i, f in enumerate(names)))
+    few = _few(middle)
+    off = _join(rows, middle, few).select("key", *(F.abs(F.col(f) - F.col(f"m_{i}")).alias(f) for i, f in enumerate(names)))
     spread = quantiles(off, ["key"], {f"d_{i}": f for i, f in enumerate(names)}, (0.5,))
     robust = middle.join(spread, "key").withColumns(
         {f"v_{i}_{j}": F.pow(1.4826 * F.col(f"d_{i}")[0], 2) if i == j else F.lit(0.0) for i in range(len(names)) for j in range(i + 1)}
@@ -227,30 +232,29 @@ def _starts(rows: DataFrame, n_starts: int) -> DataFrame:
     if n_starts > 1:
         among = F.ceil(F.col("n") / SUBSET)
         chosen = F.filter(F.sequence(F.lit(1), F.lit(n_starts - 1)), lambda k: F.pmod(F.xxhash64(k, *names), among) == 0)
-        subsets = _join(rows, middle.select("key", "n")).select("key", *names, F.explode(chosen).alias("start"))
+        subsets = _join(rows, middle.select("key", "n"), few).select("key", *names, F.explode(chosen).alias("start"))
         found = found.unionByName(_moments(subsets))
-    return materialise(found, "mcd-start")
+    return materialise(found, "mcd-start"), few
 
 
-def _concentrate(rows: DataFrame, now: DataFrame) -> DataFrame:
+def _concentrate(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
     """The estimates after one concentration step from each of ``now``."""
-    far = _join(rows, now).select("key", "start", *FEATURES, _squared_distance().alias("d2"))
+    far = _join(rows, now, few).select("key", "start", *FEATURES, _squared_distance().alias("d2"))
     edge = quantiles(far, ["key", "start"], {"edge": "d2"}, (SUPPORT,)).select("key", "start", F.col("edge")[0].alias("edge"))
-    edge = materialise(edge, "mcd-edge")
-    return materialise(_moments(_join(far, edge, ["key", "start"]).where("d2 <= edge")), "mcd")
+    return _moments(_join(far, edge, few, ["key", "start"]).where("d2 <= edge"))
 
 
 def mcd_estimates(rows: DataFrame, n_starts: int = STARTS) -> DataFrame:
     """Per group ``key``: centre, Cholesky factor, ``scale`` (for the median squared distance) and ``spread`` (for the upper quartile)."""
-    now = _starts(rows, n_starts)
+    now, few = _starts(rows, n_starts)
     for _ in range(FIRST_STEPS):
-        now = _concentrate(rows, now)
+        now = materialise(_concentrate(rows, now, few), "mcd")
     columns = [c for c in now.columns if c != "key"]
     best = now.groupBy("key").agg(F.min_by(F.struct(*columns), F.struct("log_det", "start")).alias("b"))
     now = materialise(best.select("key", "b.*"), "mcd-best")
     settled = now.limit(0)
     for _ in range(MAX_STEPS):
-        stepped = _concentrate(rows, now)
+        stepped = _concentrate(rows, now, few)
         fell = stepped.join(now.select("key", F.col("log_det").alias("was")), "key").withColumn("fell", F.col("log_det") < F.col("was") - SETTLED)
         fell = materialise(fell, "mcd-step")
         done = now.join(fell.where("NOT fell").select("key"), "key")
@@ -259,7 +263,7 @@ def mcd_estimates(rows: DataFrame, n_starts: int = STARTS) -> DataFrame:
         if now.isEmpty():
             break
     found = materialise(settled.unionByName(now).drop("start"), "mcd-settled")
-    far = _join(rows, found).select("key", _squared_distance().alias("d2"))
+    far = _join(rows, found, few).select("key", _squared_distance().alias("d2"))
     points = quantiles(far, ["key"], {"d2": "d2"}, (0.5, 0.75))
     scaled = points.select("key", "d2", F.greatest(F.col("d2")[0] / CHI2_MEDIAN, F.lit(1e-3)).alias("scale"))
     above = (F.cbrt(F.col("d2")[1] / F.col("scale")) - math.cbrt(CHI2_MEDIAN)) / (math.cbrt(CHI2_QUARTILE) - math.cbrt(CHI2_MEDIAN))
@@ -272,8 +276,7 @@ def judge(stats: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP)
     vectors = _with_groups(_features(stats), min_group)
     rows = materialise(vectors.where("NOT base_failed").select(F.explode("keys").alias("key"), *FEATURES), "quality-vectors")
     found = mcd_estimates(rows).withColumnRenamed("key", "judge")
-    few = found.count() <= BROADCAST_GROUPS
-    own = vectors.drop("keys").join(F.broadcast(found) if few else found, "judge", "left")
+    own = vectors.drop("keys").join(F.broadcast(found) if _few(found) else found, "judge", "left")
     middle = math.cbrt(CHI2_MEDIAN)
     root = middle + (F.cbrt(_squared_distance() / F.col("scale")) - middle) / F.col("spread")
     own = own.withColumn("distance2", F.pow(root, 3)).withColumn(
@@ -296,3 +299,20 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     flat = rows.select("rid", *(F.col(f"row.{c}").alias(c) for c in ("text", "lang", "source")))
     stats = materialise(base_statistics(flat, ("rid", "lang", "source"), ("n_lines",)), "quality")
     return without(rows, judge(stats, cutoff).where("NOT kept"))
+
+
+#: The base columns alone; the method's verdict is beyond SQL.
+BASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT rid, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) > 3),
+t AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS n FROM g),
+r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 3)) AS p FROM t WHERE n > 1) GROUP BY rid),
+s AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+      CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+"""

@@ -60,6 +60,16 @@ def op10_content_store(spark, sf_dir):
     return content_store.stored(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+def base_statistics(spark, sf_dir):
+    """The part of op6 that SQL can express."""
+    return quality_rules.base_statistics(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
+def explicit_url_rules(spark, sf_dir):
+    """The part of op5 that SQL can express."""
+    return url_rules.explicit_verdicts(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,7 +83,14 @@ QUERIES = {
         op8_simhash_variants,
         op9_host_suffix_array,
         op10_content_store,
+        base_statistics,
+        explicit_url_rules,
     )
 }
 
-ORACLES = {"op3_winnowing": winnowing.ORACLE_SQL}
+ORACLES = {
+    "op3_winnowing": winnowing.ORACLE_SQL,
+    "op7_typed_parts": chat_parts.ORACLE_SQL,
+    "base_statistics": quality_rules.BASE_SQL,
+    "explicit_url_rules": url_rules.EXPLICIT_SQL,
+}

@@ -298,3 +298,20 @@ def filter_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     )
     shown = pages.select("url", document_number().alias("doc_id"))
     return judge(pages, mine(shown.join(marked, "doc_id").select("url", "bad")), EXPLICIT)
+
+
+def explicit_verdicts(pages: DataFrame) -> DataFrame:
+    """What the explicit rules alone say of every page: page_id, host, path, rule and verdict (allow where no rule fits)."""
+    return judge(pages, Mined([], {}), EXPLICIT)
+
+
+_FITS = "(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{start}')"
+_BY_LENGTH = [(rule, *rule.split("/", 1)) for rule in sorted(EXPLICIT, key=lambda r: (-len(r), r))]
+_CASE = "CASE " + " ".join(f"WHEN {_FITS.format(host=host, start=start)} THEN '{{{i}}}'" for i, (_, host, start) in enumerate(_BY_LENGTH)) + " END"
+#: The explicit rules; what is mined is beyond SQL.
+EXPLICIT_SQL = f"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^(.*?)://([^/?#]*)([^?#]*)', 2), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '(?s)^(.*?)://([^/?#]*)([^?#]*)', 3) AS path FROM pages)
+SELECT page_id, host, path, {_CASE.format(*(rule for rule, _, _ in _BY_LENGTH))} AS rule,
+       coalesce({_CASE.format(*(EXPLICIT[rule] for rule, _, _ in _BY_LENGTH))}, 'allow') AS verdict FROM u
+"""
