@@ -174,7 +174,8 @@ def preprocess(spark, sf_dir):
         F.col("l_tax").alias("X.Percent"),
     )
     made = clean.preprocess(raw, order=("at", "StartDate", "EndDate"))
-    return made.select("EventId", "at", F.col("StartDate").alias("start"), F.col("EndDate").alias("end"))
+    written = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(name) for c, name in (("StartDate", "start"), ("EndDate", "end"))]
+    return made.select("EventId", "at", *written)
 
 
 def cache_round_trip(spark, sf_dir):
@@ -251,8 +252,8 @@ ORACLES = {
     "csv_union": """SELECT o_orderkey, 'say "' || o_orderpriority || '", or' || chr(10) || o_orderstatus AS note, round(o_totalprice, 2) AS price,
         CASE WHEN o_orderkey % 2 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders""",
     "preprocess": """SELECT l_orderkey AS "EventId", l_suppkey AS at,
-        CASE WHEN l_orderkey % 3 <> 0 THEN CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) END AS start,
-        CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) + CASE WHEN l_orderkey % 3 = 1 THEN INTERVAL '10:20:30' ELSE INTERVAL '0' SECOND END AS "end"
+        CASE WHEN l_orderkey % 3 <> 0 THEN strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d 00:00:00') END AS start,
+        strftime(CAST(l_shipdate AS DATE), CASE WHEN l_orderkey % 3 = 1 THEN '%Y-%m-%d 10:20:30' ELSE '%Y-%m-%d 00:00:00' END) AS "end"
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey,
               CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE strftime(CAST(l_shipdate AS DATE), '%Y-%-m-%-d') END, CAST(l_shipdate AS DATE)) AS n FROM lineitem)
         WHERE n = 1""",
