@@ -253,7 +253,7 @@ ORACLES = {
         CASE WHEN o_orderkey % 2 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders""",
     "preprocess": """SELECT l_orderkey AS "EventId", l_suppkey AS at,
         CASE WHEN l_orderkey % 3 <> 0 THEN strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d 00:00:00') END AS start,
-        strftime(CAST(l_shipdate AS DATE), CASE WHEN l_orderkey % 3 = 1 THEN '%Y-%m-%d 10:20:30' ELSE '%Y-%m-%d 00:00:00' END) AS "end"
+        strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d ') || CASE WHEN l_orderkey % 3 = 1 THEN '10:20:30' ELSE '00:00:00' END AS "end"
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey,
               CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE strftime(CAST(l_shipdate AS DATE), '%Y-%-m-%-d') END, CAST(l_shipdate AS DATE)) AS n FROM lineitem)
         WHERE n = 1""",
