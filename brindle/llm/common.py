@@ -97,7 +97,26 @@ def without(rows: DataFrame, rids: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """A table read from Parquet files, with its rows dealt over all cores if its row groups would leave half of them idle.
+
+    One task reads a row group, however much work its rows are. Tables of a full split for each core are left as they are,
+    unseen; of smaller ones the row groups are counted, from the files' footers.
+    """
+    spark = files.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= cores * _split_bytes(spark):
+        return files
+    meta = files.metadataColumn("_metadata")
+    groups = files.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("start")).distinct().count()
+    return files.repartition(cores) if 0 < 2 * groups <= cores else files
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
 
 
 def ascii_lower(text):

@@ -2,6 +2,7 @@ from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import common as C
 
@@ -38,3 +39,17 @@ def test_batches_are_bounded_by_bytes(spark, monkeypatch):
     whole = list(C.gathered(iter(given), 800))
     assert [b.num_rows for b in whole] == [100] * 10 and pa.Table.from_batches(whole)["a"].to_pylist() == list(range(1000))
     assert list(C.gathered(iter([]), 800)) == []
+
+
+def test_tables_of_few_row_groups_are_dealt_over_all_cores(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    parts = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    rows = spark.range(2000, numPartitions=1).selectExpr("id", "id AS _metadata", "repeat('x', 20) AS text")
+    rows.write.parquet(f"{tmp_path}/one.parquet")
+    one = C.table(spark, str(tmp_path), "one")
+    assert parts(one) == cores and one.columns == rows.columns and sorted(one.collect()) == sorted(rows.collect())
+    rows.repartition(cores).write.parquet(f"{tmp_path}/many.parquet")
+    many = C.table(spark, str(tmp_path), "many")
+    assert "REPARTITION" not in many._jdf.queryExecution().toString().upper() and many.count() == 2000
+    rows.limit(0).write.parquet(f"{tmp_path}/none.parquet")
+    assert C.table(spark, str(tmp_path), "none").collect() == []
