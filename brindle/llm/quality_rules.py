@@ -203,10 +203,14 @@ def _join(rows: DataFrame, groups: DataFrame, few: bool, on: str | list[str] = "
     return rows.join(F.broadcast(groups) if few else groups, on)
 
 
+def _bin(v: Column) -> Column:
+    return F.floor(F.ln(v + LOWEST) * BINS).cast("int")
+
+
 def quantiles(rows: DataFrame, by: list[str], values: dict[str, str], shares: tuple[float, ...]) -> DataFrame:
     """``by`` and, for each name in ``values`` (to a column that is never negative), an array of its quantiles by group."""
     cells = F.array(*(F.struct(F.lit(k).alias("name"), F.col(c).alias("v")) for k, c in values.items()))
-    each = rows.select(*by, F.inline(cells)).withColumn("bin", F.floor(F.ln(F.col("v") + LOWEST) * BINS).cast("int"))
+    each = rows.select(*by, F.inline(cells)).withColumn("bin", _bin(F.col("v")))
     bins = each.groupBy(*by, "name", "bin").agg(F.count("*").alias("n"), F.max("v").alias("v"))
     whole = Window.partitionBy(*by, "name")
     bins = bins.withColumns({"up_to": F.sum("n").over(whole.orderBy("bin")), "of": F.sum("n").over(whole)})
@@ -238,10 +242,29 @@ def _starts(rows: DataFrame, n_starts: int) -> tuple[DataFrame, bool]:
 
 
 def _concentrate(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
-    """The estimates after one concentration step from each of ``now``."""
-    far = _join(rows, now, few).select("key", "start", *FEATURES, _squared_distance().alias("d2"))
-    edge = quantiles(far, ["key", "start"], {"edge": "d2"}, (SUPPORT,)).select("key", "start", F.col("edge")[0].alias("edge"))
-    return _moments(_join(far, edge, few, ["key", "start"]).where("d2 <= edge"))
+    """The estimates after one concentration step from each of ``now``, in one pass over the rows.
+
+    Moments are summed by bin of the distance, around the centre so far; those of the nearest bins that hold the ``SUPPORT``
+    share make the next estimate.
+    """
+    at = range(len(FEATURES))
+    pairs = [(i, j) for i in at for j in range(i + 1)]
+    centres = [f"m_{i}" for i in at]
+    off = [(F.col(f) - F.col(m)).alias(f"x_{i}") for i, (f, m) in enumerate(zip(FEATURES, centres, strict=True))]
+    far = _join(rows, now, few).select("key", "start", *centres, *off, _bin(_squared_distance()).alias("bin"))
+    cells = far.groupBy("key", "start", "bin").agg(
+        F.count("*").alias("n"),
+        *(F.max(m).alias(m) for m in centres),
+        *(F.sum(f"x_{i}").alias(f"s_{i}") for i in at),
+        *(F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"p_{i}_{j}") for i, j in pairs),
+    )
+    whole = Window.partitionBy("key", "start")
+    cells = cells.withColumns({"up_to": F.sum("n").over(whole.orderBy("bin")), "of": F.sum("n").over(whole)})
+    sums = ["n", *(f"s_{i}" for i in at), *(f"p_{i}_{j}" for i, j in pairs)]
+    near = cells.where(F.col("up_to") - F.col("n") < F.ceil(F.col("of") * SUPPORT)).groupBy("key", "start")
+    summed = near.agg(*(F.max(m).alias(m) for m in centres), *(F.sum(c).alias(c) for c in sums))
+    means = [f"m_{i} + s_{i} / n AS m_{i}" for i in at]
+    return _estimates(summed.selectExpr("key", "start", *means, *(f"p_{i}_{j} / n - s_{i} / n * (s_{j} / n) AS v_{i}_{j}" for i, j in pairs)))
 
 
 def mcd_estimates(rows: DataFrame, n_starts: int = STARTS) -> DataFrame:
