@@ -149,3 +149,57 @@ def test_repeated_rows_and_empty_table(spark):
     pages = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], PAGES)
     assert Counter(map(tuple, H.extract(pages).collect())) == {(1, "http://a.b/", "same", 4, 0, 0): 3}
     assert run(spark, []) == {}
+
+
+def test_results_do_not_depend_on_the_parts_of_a_host(spark):
+    """Runs near the share of a large host, whose pages come in copies; parts read as hosts of their own got them wrong."""
+    rnd = random.Random(7)
+    unique = lambda n: " ".join(f"u{rnd.randrange(10**9)}" for _ in range(n))
+    whole, least, less, few = unique(12), unique(12), unique(12), unique(12)
+    texts = []
+    for i in range(400):
+        texts.append(f"<div>{whole}</div>" * (i % 5 > 0) + f"<div>{least}</div>" * (i % 4 == 1) + f"<div>{less}</div>" * (i % 4 == 2 and i > 2) + f"<div>{unique(20)}</div>")
+    texts += [f"<div>{few}</div><div>{unique(20)}</div>"] * 150 + [f"<p id={i}>{texts[i % 3]}" for i in range(60)] + ["", None] * 30
+    order = rnd.sample(range(len(texts)), len(texts))
+    rows = [(i, f"http://a.b/{i}", texts[i]) for i in order] + [(1000 + i, f"http://c.d/{i}", texts[i]) for i in range(90)]
+    rows += [(2000 + i, f"http://e.f/{i}", f"<div>{unique(40)}</div>") for i in range(90)]
+    results = []
+    for part_bytes, partitions in [(H.PART_BYTES, 3), (8_000, 3), (8_000, 5), (1_000, 2)]:
+        pages = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], PAGES).repartition(partitions)
+        results.append(Counter(map(tuple, H.extract(pages, part_bytes).collect())))
+    assert len({r[0] for r in results[0]}) == len(rows) and results[1:] == results[:1] * 3
+    joined = {r[0]: r[2] for r in results[0]}
+    gone = {run: not any(run in t for i, t in joined.items() if i < 1000) for run in (whole, least, less, few)}
+    assert gone == {whole: True, least: False, less: False, few: False}
+
+
+@pytest.mark.parametrize("part_bytes", [20_000, 2_000])
+def test_a_run_on_just_the_share_of_a_host_goes(spark, part_bytes):
+    rnd = random.Random(9)
+    unique = lambda n: " ".join(f"u{rnd.randrange(10**9)}" for _ in range(n))
+    least, less = unique(9), unique(9)
+    rows = [(i, f"http://a.b/{i}", f"<div>{least if i < 100 else ''}</div><div>{less if 100 <= i < 199 else ''}</div><p>{i} {unique(9)}</p>") for i in range(400)]
+    got = run(spark, rows, part_bytes=part_bytes)
+    assert not any(least in t for t in got.values()) and sum(less in t for t in got.values()) == 99
+
+
+def test_given_runs_equal_brute_force():
+    rnd = np.random.default_rng(6)
+    for depth in (1, 3, 8):
+        streams = [rnd.integers(0, 3, rnd.integers(1, 60)) for _ in range(12)]
+        owner, whole = np.repeat(np.arange(12), [s.size for s in streams]), np.concatenate(streams)
+        given = np.unique(np.concatenate([[s[:depth] for s in streams if s.size >= depth], [[7] * depth]]), axis=0)[::-1]
+        at, which = H.given_starts(whole, owner, given)
+        fits = [(p, g) for p in range(whole.size - depth + 1) for g in range(len(given)) if owner[p] == owner[p + depth - 1] and (whole[p : p + depth] == given[g]).all()]
+        assert list(zip(at.tolist(), which.tolist(), strict=True)) == fits
+
+
+def test_a_large_host_is_shuffled_once(spark):
+    """The three passes over a host in parts read one shuffle of its blocks."""
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", f"<div>{i} a b c d e f g h i j k</div>", "x", 1, "y") for i in range(300)], PAGES)
+    found = H.extract(pages, part_bytes=1_000)
+    rows = found.collect()
+    assert all(r.n_removed == 11 for r in rows) and len(rows) == 300
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.split("== Initial Plan ==")[0].splitlines() if "REPARTITION_BY_NUM" in line and " Exchange " in line]
+    assert len(shuffles) == 3 and sum("ReusedExchange" in line for line in shuffles) == 2
