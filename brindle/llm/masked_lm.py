@@ -159,16 +159,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def build_vocabulary(counts: DataFrame, known: int = KNOWN, n_own: int = N_OWN, n_inputs: int = N_INPUTS) -> Vocabulary:
-    """The most frequent words, as many whole classes of like counts as ``known`` allows, and the class totals."""
+    """The most frequent words, as many whole classes of like counts as ``known`` allows, and the class totals.
+
+    Where the next class of counts is too large, its first words, by count and then by name, still fill up the inputs and classes of their own.
+    """
     level = F.floor(F.ln("n") * 64).cast("int")
     by_level = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()  # 64 * 44 rows at most
-    least, room = None, known
+    least, room, left_out = None, known, None
     for r in by_level:
         if r.words > room:
+            left_out = r.level
             break
         least, room = r.level, room - r.words
     found = counts.where(level >= least) if least is not None else counts.limit(0)
-    found = found.select("word", "n").toArrow()
+    found, short = found.select("word", "n"), min(known, max(n_own, n_inputs)) - (known - room)
+    if left_out is not None and short > 0:
+        found = found.union(counts.where(level == left_out).select("word", "n").orderBy(F.desc("n"), "word").limit(short))
+    found = found.toArrow()
     pairs = sorted(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     vocabulary = Vocabulary([w for w, _ in pairs], np.array([n for _, n in pairs], np.float64), np.zeros(n_own + ENDINGS), n_own, n_inputs)
     vocabulary.totals = _class_totals(counts, vocabulary)

@@ -79,6 +79,15 @@ def test_counts_and_vocabulary_cover_the_corpus(spark, sf_dir):
     assert [vocabulary.totals[i] for i in range(5)] == [words[w] for w in vocabulary.words[:5]]
 
 
+@pytest.mark.parametrize("common", [0, 3, 10])
+def test_words_of_like_counts_fill_the_inputs_when_not_all_can_be_known(spark, common):
+    words = {f"c{i}": 100 - i for i in range(common)} | {f"w{i:02}": 7 for i in range(40)} | {f"x{i:02}": 1 for i in range(40)}
+    counts = spark.createDataFrame(list(words.items()), "word string, n long").repartition(3)
+    vocabulary = M.build_vocabulary(counts, known=30, n_own=4, n_inputs=10)
+    assert vocabulary.words == sorted(words, key=lambda w: (-words[w], w))[:10]
+    assert vocabulary.totals.sum() == sum(words.values()) and vocabulary.totals[3] == words[vocabulary.words[3]]
+
+
 def test_a_class_and_its_unknown_word_sum_to_one(spark):
     words = Counter({f"w{i}x{j}": 1 + i * j for i in range(9) for j in range(9)})
     counts = spark.createDataFrame(list(words.items()), "word string, n long")
