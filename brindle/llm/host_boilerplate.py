@@ -18,7 +18,8 @@ Blocks are parsed once and shuffled once, by host. A host of more than ``PART_BY
 whole host all the same, and no result depends on the parts: equal streams that count go to one part (a task's further copies
 to any, uncounted), so the parts' numbers of distinct pages add up. A run with the host's share has that share in
 some part, so each part names the runs that have it there (``part_runs``); those whose sum over the host can suffice are
-counted in all its parts (``run_counts``), and those that do suffice come back to all parts. Nothing is capped or hashed: runs travel as text.
+counted in all its parts (``run_counts``), and those that do suffice come back to all parts. No run is
+capped or hashed; copies within a task are known by 128-bit digests of their streams.
 
 Parsing takes time in proportion to the page, however malformed: no pattern goes back over what it has read, and the
 stack of open elements is never searched.
